@@ -1,0 +1,4 @@
+"""All queries of the library with their DuckDB counterparts."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
