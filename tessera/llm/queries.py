@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, pii
+from tessera.llm import exact_dedup, mixing, packing, pii
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_pack": packing.op3_pack,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pseudonymise": pii.op10_pseudonymise,
     }
