@@ -56,4 +56,4 @@ def word_count(text: Column) -> Column:
 
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: the held-out fold of the learning contracts."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)).cast("int")
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
