@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, packing, pii, quality
+from tessera.llm import exact_dedup, mixing, packing, pii, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_pack": packing.op3_pack,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_quality": quality.op7_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pseudonymise": pii.op10_pseudonymise,
