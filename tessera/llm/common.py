@@ -57,3 +57,19 @@ def word_count(text: Column) -> Column:
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: the held-out fold of the learning contracts."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
+
+#: A key above this part of all rows is heavy; so there are fewer than HEAVY heavy keys.
+HEAVY = 500
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, n_rows: int, size: str = "group_size") -> DataFrame:
+    """``rows`` joined to ``groups`` (one row a key, ``size`` counts its rows) without a hot task.
+
+    Keys with more than ``n_rows / HEAVY`` rows are fewer than ``HEAVY``: they are joined by
+    broadcast. What is left has no large key and is joined by a shuffle.
+    """
+    bound = max(1, n_rows // HEAVY)
+    heavy, light = groups.where(F.col(size) > bound), groups.where(F.col(size) <= bound)
+    some = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light.hint("shuffle_hash"), key)
+    return some.unionByName(rest)

@@ -6,8 +6,8 @@ two rows hit is marked. The marked slots are kept as 64-bit words and broadcast:
 both of its slots are marked; every other row is unique for certain and passes straight through. A
 full bitmap costs shuffling, never a wrong result.
 
-Groups are aggregated before they are shuffled. Groups that hold more than ``1 / HEAVY`` of the
-rows are joined by broadcast (there are fewer than ``HEAVY`` of them), the rest by a shuffle, so a
+Groups are aggregated before they are shuffled. Groups that hold more than 1/500 of the
+rows are joined by broadcast (there are fewer than 500 of them), the rest by a shuffle, so a
 text that makes up a third of the corpus does not land in one task.
 """
 
@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fresh, table
+from tessera.llm.common import checkpoint, fresh, join_counted, table
 
 #: Bits of the bitmap: 16 a row, but no more than 2**27 (16 MB as words).
 BITS_PER_ROW, LEAST_BITS, MAX_BITS = 16, 1 << 16, 1 << 27
-#: A group above this part of all rows is heavy; so there are fewer than HEAVY heavy groups.
-HEAVY = 500
 
 
 def _slots(key):
@@ -70,13 +68,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows = tested.where("maybe").select("doc_id", "text_sha256")
     groups = checkpoint(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    bound = max(1, digests.count() // HEAVY)
-    heavy = F.broadcast(groups.where(F.col("group_size") > bound))
-    in_heavy = rows.join(heavy, "text_sha256")
-    in_light = rows.join(heavy.select("text_sha256"), "text_sha256", "left_anti").join(
-        groups.where(F.col("group_size") <= bound).hint("shuffle_hash"), "text_sha256"
-    )
-    joined = in_heavy.unionByName(in_light).select(
+    joined = join_counted(rows, groups, "text_sha256", digests.count()).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(joined)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, packing, pii, quality, toxicity
+from tessera.llm import exact_dedup, mixing, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_simhash": simhash.op2_simhash,
         "op3_pack": packing.op3_pack,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_quality": quality.op7_quality,
