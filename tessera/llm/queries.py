@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, packing, pii, quality, simhash, toxicity
+from tessera.llm import exact_dedup, mixing, packing, pii, quality, scoring, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_pack": packing.op3_pack,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_score": scoring.op6_score,
         "op7_quality": quality.op7_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pseudonymise": pii.op10_pseudonymise,
