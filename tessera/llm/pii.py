@@ -188,5 +188,9 @@ def pseudonymise(docs: DataFrame, key: str = "tessera", text_col: str = "text")
 def op10_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: the text with pseudonyms, and how many values of each kind were replaced."""
     out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("replaced", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("replaced", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in PATTERNS]
     return out.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), *counts)
