@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, packing, pii, quality, scoring, simhash, toxicity
+from tessera.llm import exact_dedup, mixing, packing, pii, quality, scoring, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_simhash": simhash.op2_simhash,
         "op3_pack": packing.op3_pack,
+        "op4_remove_repeats": substring_dedup.op4_remove_repeats,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_score": scoring.op6_score,
         "op7_quality": quality.op7_quality,
