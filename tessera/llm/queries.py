@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, packing, pii, quality, scoring, simhash, substring_dedup, toxicity
+from tessera.llm import exact_dedup, mixing, neighbours, packing, pii, quality, scoring, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_score": scoring.op6_score,
         "op7_quality": quality.op7_quality,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_pseudonymise": pii.op10_pseudonymise,
     }
