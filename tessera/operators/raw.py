@@ -101,7 +101,7 @@ METHODS = {
 def data_matrix(ds: CountDataset, method: str = "") -> DataFrame:
     """``gene, cell, value`` by the named method; sparse methods return only what is not zero."""
     method = method or "LogNormalized"
-    kind = next((k for k, names in METHODS.items() if method in names), None)
+    kind = next((k for k, names in METHODS.items() if method == k or method in names), None)
     if kind is None:
         raise ValueError(f"unknown data method {method}")
     if kind == "raw":

@@ -1,8 +1,8 @@
-"""All queries of the library with their DuckDB counterparts, on two count matrices of the test tables."""
+"""All queries of the library with their DuckDB counterparts, on count matrices of the test tables."""
 
 from __future__ import annotations
 
-from tessera.queries import matrix
+from tessera.queries import matrix, more
 
-QUERIES: dict = dict(matrix.QUERIES)
-ORACLES: dict = dict(matrix.ORACLES)
+QUERIES: dict = matrix.QUERIES | more.QUERIES
+ORACLES: dict = matrix.ORACLES | more.ORACLES
