@@ -19,11 +19,12 @@ def zero_probability(a: np.ndarray, mu: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(a) | np.isnan(mu), np.nan, out)
 
 
-def dispersion_newton(lam, zeros, nu, weight=None, threshold=1e-3, max_iterations=100) -> np.ndarray:
+def dispersion_newton(lam, zeros, nu, weight=None, threshold=1e-3, max_iterations=100, strict=True) -> np.ndarray:
     """Dispersion of each gene so that the expected zeros, sum of weight * p0(a, lam * nu), meet the observed.
 
     No zero gives -inf, no count at all gives 1. A lane within the threshold at dispersion 0 still
-    takes Newton steps, so a result does not depend on which genes share a batch.
+    takes Newton steps, so a result does not depend on which genes share a batch. Lanes that do not
+    converge raise, or are NaN if not ``strict``.
     """
     lam, zeros, nu = (np.asarray(x, float) for x in (lam, zeros, nu))
     weight = np.ones_like(nu) if weight is None else np.asarray(weight, float)
@@ -47,8 +48,9 @@ def dispersion_newton(lam, zeros, nu, weight=None, threshold=1e-3, max_iteration
         go = ~done
         factor = np.maximum((step + np.where(negative, -diff, diff)) / step, 1e-8)
         a, todo, negative = (a * factor)[go], todo[go], negative[go]
-    if len(todo):
+    if len(todo) and strict:
         raise ArithmeticError(f"no convergence for {len(todo)} genes")
+    out[todo] = np.nan
     return out
 
 

@@ -55,7 +55,7 @@ def histogram(ds: CountDataset) -> pd.DataFrame:
 
 
 def estimate_dispersion(ds: CountDataset, threshold: float = 1e-3, max_iterations: int = 100, chunk: int = 1024) -> CountDataset:
-    """Dispersion of each gene by Newton's method; a batch that fails is solved by bisection."""
+    """Dispersion of each gene by Newton's method; genes that fail are solved by bisection."""
     values = histogram(ds)
     nu, m = values["nu"].to_numpy(float), values["m"].to_numpy(float)
 
@@ -63,11 +63,10 @@ def estimate_dispersion(ds: CountDataset, threshold: float = 1e-3, max_iteration
         for batch in batches:
             for at in range(0, len(batch), chunk):
                 part = batch.iloc[at : at + chunk]
-                args = (part["lambda"].to_numpy(float), part["zeros"].to_numpy(float), nu, m, threshold, max_iterations)
-                try:
-                    found = dispersion_newton(*args)
-                except (ArithmeticError, FloatingPointError):
-                    found = dispersion_bisection(*args)
+                lam, zeros = part["lambda"].to_numpy(float), part["zeros"].to_numpy(float)
+                found = dispersion_newton(lam, zeros, nu, m, threshold, max_iterations, strict=False)
+                if (lost := np.isnan(found)).any():
+                    found[lost] = dispersion_bisection(lam[lost], zeros[lost], nu, m, threshold, max_iterations)
                 yield pd.DataFrame({"gene": part["gene"], "dispersion": found})
 
     zeros = expressing_cells(ds).join(ds.genes.select("gene", "lambda"), "gene").select("gene", "lambda", (F.lit(ds.n_cells) - F.col("n_cells")).alias("zeros"))
