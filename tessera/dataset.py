@@ -152,6 +152,11 @@ def with_position(names: DataFrame, key: str) -> tuple[DataFrame, int]:
     return part.join(F.broadcast(shift), "_part").withColumn("pos", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift"), n
 
 
+def settled(ds: CountDataset) -> CountDataset:
+    """The same dataset with its tables written out, so that later steps do not repeat earlier ones."""
+    return replace(ds, counts=checkpoint(ds.counts), genes=checkpoint(ds.genes), cells=checkpoint(ds.cells))
+
+
 def _put(base: DataFrame, table: DataFrame, key: str) -> DataFrame:
     new = [c for c in table.columns if c != key]
     return base.drop(*new).join(table, key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.dataset import CountDataset, checkpoint
+from tessera.dataset import CountDataset, checkpoint, settled
 from tessera.operators import clusters as C
 from tessera.operators import model as M
 from tessera.operators import pairs as P
@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf: str) -> CountDataset:
 
 
 def documents_fitted(spark: SparkSession, sf: str) -> CountDataset:
-    return M.estimate_dispersion(M.estimate_nu(M.estimate_lambda(documents(spark, sf))))
+    return settled(M.estimate_dispersion(M.estimate_nu(M.estimate_lambda(documents(spark, sf)))))
 
 
 def languages(ds: CountDataset, sf: str) -> DataFrame:
@@ -120,16 +120,13 @@ def proceed_to_coex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def uniform_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    found, _, _ = pipelines.uniform_clusters(documents_fitted(spark, sf), gdi_threshold=6.0, max_iterations=2)
-    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+def cluster_uniformity(spark: SparkSession, sf: str) -> DataFrame:
+    """One cluster of documents on a fresh fit, checked."""
+    from tessera.operators.uniformity import SimpleCheck, checks_to_frame
 
-
-@query
-def merge_uniform_clusters(spark: SparkSession, sf: str) -> DataFrame:
     ds = documents_fitted(spark, sf)
-    found, _, _ = pipelines.merge_uniform_clusters(ds, languages(ds, sf), gdi_threshold=4.0, checkers=[pipelines.SimpleCheck(pipelines.GDICheck(gdi_threshold=4.0))])
-    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    filled = pipelines.check_uniformity(ds, languages(ds, sf).where("cluster = 'de'"), SimpleCheck())
+    return checks_to_frame(spark, [filled]).select("class", "is_uniform", "cluster_size")
 
 
 @query
