@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fresh, join_counted, table
+from tessera.llm.common import checkpoint, join_counted, table
 from tessera.llm.components import components
 
 WORDS, RADIUS, SEED, BLOCKS = 4, 4, 42, 6
@@ -220,17 +220,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, one of each component (that of the smallest id), with their columns.
+    """The documents, one of each group of near copies: five-word shingles, similarity 0.8 (see ``llm.jaccard``)."""
+    from tessera.llm.jaccard import drop_similar
 
-    Rows of a component that share the smallest id are told apart by a hash of all their columns,
-    so of repeated rows exactly one is left.
-    """
-    row, doc = fresh(docs, "row"), fresh(docs, "near")
-    marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash")))
-    groups = checkpoint(near_groups(marked.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text"))))
-    keep = groups.select(F.col("component_id").alias(doc)).distinct()
-    kept = marked.join(keep, F.col(row) == F.col(doc), "left_semi")
-    return kept.dropDuplicates([row]).drop(row)
+    return drop_similar(docs, id_col, text_col, **options)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

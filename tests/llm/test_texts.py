@@ -301,3 +301,37 @@ def test_pipeline_stages(spark, sf):
     rows = p.packed(spark, spark.createDataFrame(mixed), sf).toPandas()
     assert rows.groupby("sequence_id").length.sum().max() <= 2048
     assert (rows[rows.start == 0].groupby("doc_id").size() == pd.Series(mixed.doc_id).value_counts().sort_index()).all()
+
+
+def brute_similar(rows):
+    """The ids that stay: the smallest of each component of pairs with a Jaccard similarity of 0.8 or more."""
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sets = [(i, set(simhash.shingles(t, 5))) for i, t in rows]
+    for at, (i, a) in enumerate(sets):
+        for j, b in sets[:at]:
+            if (not a and not b or 5 * len(a & b) >= 4 * len(a | b) > 0) and (p := top(i)) != (q := top(j)):
+                up[max(p, q)] = min(p, q)
+    return {top(i) for i in up}
+
+
+def test_drop_near_against_brute_force_jaccard(spark, sf):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(40):  # families on both sides of the similarity, and chains
+        text = list(rng.choice(words, 150))
+        for n in range(6):
+            rows.append(" ".join(text))
+            text = list(text)
+            for at in rng.choice(150, rng.integers(1, 6), replace=False):
+                text[at] = str(rng.choice(words))
+    rows = list(enumerate(rows)) + [(1000 + r.doc_id, r.text) for r in pdf(spark, sf).itertuples()]
+    want = brute_similar(rows)
+    got = [r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(want) and set(got) == want and 40 < len([i for i in want if i < 1000]) < 240
