@@ -199,3 +199,14 @@ def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'coex' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_uniform_pairs_of_the_first_batch_merge(fit, monkeypatch):
+    from dataclasses import replace
+
+    from tessera.plans import pipelines
+
+    monkeypatch.setattr(pipelines, "check_uniformity", lambda ds, cells, checker, **o: replace(checker, is_uniform=True, cluster_size=cells.count()))
+    labels = fit.cells.select("cell", F.when(F.col("cell") < "k", "a").otherwise("b").alias("cluster"))
+    merged, _, checks = pipelines.merge_uniform_clusters(fit, labels, [U.SimpleCheck()])
+    assert merged.select("cluster").distinct().count() == 1 and list(checks) == [("a", "b")]
