@@ -25,16 +25,15 @@ def query(f):
 
 
 def documents(spark: SparkSession, sf: str) -> CountDataset:
-    """Genes are words of three or more letters in a tenth of the documents, cells are documents."""
+    """Genes are words of three or more letters, cells are documents; what is rare is cut by ``clean`` alone."""
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     words = rows.select(F.col("doc_id").alias("cell"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("gene")).where(F.length("gene") >= 3)
     counts = words.groupBy("gene", "cell").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.groupBy("gene").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= 0.1 * rows.count())
-    return CountDataset.build(checkpoint(counts.join(common.select("gene"), "gene", "left_semi")), check=False)
+    return settled(R.clean(settled(CountDataset.build(checkpoint(counts), check=False))))
 
 
 def documents_fitted(spark: SparkSession, sf: str) -> CountDataset:
-    return settled(M.estimate_dispersion(M.estimate_nu(M.estimate_lambda(documents(spark, sf)))))
+    return settled(M.estimate_dispersion(M.estimate_lambda(documents(spark, sf))))
 
 
 def languages(ds: CountDataset, sf: str) -> DataFrame:

@@ -210,3 +210,11 @@ def test_uniform_pairs_of_the_first_batch_merge(fit, monkeypatch):
     labels = fit.cells.select("cell", F.when(F.col("cell") < "k", "a").otherwise("b").alias("cluster"))
     merged, _, checks = pipelines.merge_uniform_clusters(fit, labels, [U.SimpleCheck()])
     assert merged.select("cluster").distinct().count() == 1 and list(checks) == [("a", "b")]
+
+
+def test_documents_keep_the_words_of_one_language(spark, sf):
+    from tessera.queries.more import documents, languages
+
+    ds = documents(spark, sf)
+    by = ds.counts.join(languages(ds, sf), "cell").groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("cluster") == "es").cast("double")).alias("es"))
+    assert by.where("n >= 3 and es >= 0.8").count() > 0
