@@ -5,13 +5,15 @@ starts from random hyperplanes: nodes in the order of their sign code are compar
 ``RUN`` under ``TREES`` sets of planes. Each round of NN-descent then joins every node's neighbours,
 forward and reverse, with their vectors, compares neighbours of one node with each other where one
 of the two is new, and keeps for each node the ``DEGREE`` best it has met. A query walks the graph:
-the best nodes it has met and not yet opened are opened, their neighbours are scored, until nothing
-better turns up or ``STEPS`` rounds are over. Vectors travel in 8 bits a component; all that a query
-has kept is scored exactly at the end, in double precision, on the original vectors.
+the best nodes it has met and not yet opened are opened, their neighbours are scored, until no
+node among its ``POOL`` best is left unopened. Vectors travel as unit vectors of 32-bit floats and are
+compared in double precision; all that a query has kept is scored exactly at the end, on the
+original vectors.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, table
 
 TREES, RUN, FROM_RUN, DEGREE, REVERSE, FROM_NODE, ROUNDS, SEED = 16, 256, 8, 32, 16, 10, 4, 11
-#: Nodes that a query opens in one step, edges followed from each, nodes that it keeps, and the most steps.
-OPEN, LINKS, POOL, STEPS, TOP = 32, 64, 400, 6, 5
+#: Nodes that a query opens in one step, edges followed from each, nodes that it keeps, and the most steps (None: until it converges).
+OPEN, LINKS, POOL, STEPS, TOP = 32, 64, 400, None, 5
 
 
 def clean_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -36,19 +38,20 @@ def clean_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors in signed 8-bit integers, each scaled to its largest component."""
+    """Unit vectors as 32-bit floats."""
     for batch in batches:
         lists = batch.column("vector")
         x = np.asarray(lists.flatten(), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-        x = np.rint(127 * x / np.abs(x).max(1, keepdims=True)).astype(np.int8)
+        x = x / np.abs(x).max(1, keepdims=True)
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "unit"])
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    """The unit vectors of a binary column, as 32-bit floats."""
+    """The unit vectors of a binary column, as doubles: near copies differ by less than a float of their similarity."""
     if not len(column):
-        return np.zeros((0, 1), np.float32)
-    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+        return np.zeros((0, 1))
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -61,11 +64,11 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sims)), k), cols.ravel()
 
 
-EDGES = "v long, u long, sim float"
+EDGES = "v long, u long, sim double"
 
 
 def _edges(v: np.ndarray, u: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(sim.astype(np.float32))], names=["v", "u", "sim"])
+    return pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(sim.astype(np.float64))], names=["v", "u", "sim"])
 
 
 def _coder(trees: int, bits: int, seed: int):
@@ -170,7 +173,7 @@ def build_graph(units: DataFrame, n: int, degree: int = DEGREE, rounds: int = RO
     start = ordered.mapInArrow(_runs(RUN, FROM_RUN), EDGES).withColumn("fresh", F.lit(True))
     graph = checkpoint(_keep(start, degree))
     for _ in range(rounds):
-        worst = graph.groupBy("v").agg(F.when(F.count(F.lit(1)) >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        worst = graph.groupBy("v").agg(F.when(F.count(F.lit(1)) >= degree, F.min("sim")).otherwise(F.lit(-2.0)).cast("double").alias("worst"))
         reverse = graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim", "fresh")
         # of a node's reverse neighbours the new ones come first, then the nearest
         rank = F.row_number().over(W.partitionBy("v").orderBy(F.desc("fresh"), F.desc("sim"), "u"))
@@ -192,14 +195,14 @@ def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(batch.column("v").to_numpy(), batch.column("u").to_numpy(), np.einsum("ij,ij->i", a, b))
 
 
-def search_graph(graph: DataFrame, units: DataFrame, queries: DataFrame, pool: int = POOL, steps: int = STEPS, open_: int = OPEN) -> DataFrame:
+def search_graph(graph: DataFrame, units: DataFrame, queries: DataFrame, pool: int = POOL, steps: int | None = STEPS, open_: int = OPEN) -> DataFrame:
     """``queries(v)``: nodes of the graph -> ``v, u, sim``: the nodes met on a greedy walk from each."""
     both = graph.select("v", "u", "sim").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")).groupBy("v", "u").agg(F.max("sim").alias("sim"))
     near = W.partitionBy("v").orderBy(F.desc("sim"), "u")
     links = checkpoint(both.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= LINKS).select(F.col("v").alias("at"), F.col("u").alias("next")))
     asked = checkpoint(units.join(queries.select(F.col("v").alias("node")), "node", "left_semi").select(F.col("node").alias("v"), F.col("unit").alias("query_unit")))
     met = checkpoint(graph.join(queries, "v", "left_semi").select("v", "u", "sim", F.lit(False).alias("opened")))
-    for _ in range(steps):
+    for _ in itertools.count() if steps is None else range(steps):
         rank = F.row_number().over(W.partitionBy("v").orderBy("opened", F.desc("sim"), "u"))
         marked = met.withColumn("opening", (~F.col("opened")) & (rank <= open_))
         frontier = marked.where("opening").select("v", F.col("u").alias("at"))
@@ -248,7 +251,7 @@ def nearest(rows: DataFrame, query_every: int, id_col: str = "vec_id", vector_co
     n = units.count()
     graph = build_graph(units, n)
     walked = search_graph(graph, units, asked.select(F.col("node").alias("v")).distinct(), **options)
-    itself = asked.select(F.col("node").alias("v"), F.col("node").alias("u")).distinct().withColumn("sim", F.lit(2.0).cast("float"))
+    itself = asked.select(F.col("node").alias("v"), F.col("node").alias("u")).distinct().withColumn("sim", F.lit(2.0))
     best = walked.unionByName(itself).select("v", "u")
     pairs = best.join(asked, F.col("v") == F.col("node")).drop("node").join(members.withColumnRenamed("node", "u"), "u").where("vec_id <> query_id")
     scored = pairs.select("query_id", "query_vector", "vec_id", "vector").mapInArrow(_exact, "query_id long, vec_id long, score double")

@@ -335,3 +335,18 @@ def test_drop_near_against_brute_force_jaccard(spark, sf):
     want = brute_similar(rows)
     got = [r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(got) == len(want) and set(got) == want and 40 < len([i for i in want if i < 1000]) < 240
+
+
+@pytest.mark.parametrize("noise", [0.003, 0.001])
+def test_neighbours_inside_a_cluster(spark, noise):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=64) + noise * rng.normal(size=(1500, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, 100).toPandas()
+    y, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q, part in got.groupby("query_id"):
+        far = ((y - y[q]) ** 2).sum(1)
+        far[q] = 9
+        hits += len(set(np.argsort(far)[:5]) & set(part.vec_id))
+    print("recall", hits / 75)
+    assert hits >= 0.9 * 75
