@@ -7,14 +7,15 @@ when a new bin is needed while all are open the fullest is closed. A piece's pla
 is placed, so rows leave at once and a task holds one chunk of documents and the open bins' free
 spaces. Within a chunk pieces are placed longest first.
 
-Tokens come from a vocabulary file. A space between two non-spaces always starts a pre-token of the
-byte-level pattern, so texts are cut there and the ids of each cut are remembered per worker; what
-has not been seen goes through the tokenizer, all of a chunk in a row.
+Tokens come from a vocabulary file. Where that is a plain byte-level BPE, its merges are run by a
+faster engine that gives the same ids; texts with characters whose class the two engines' Unicode
+tables might see differently, texts with very long runs of white space and files of any other kind go
+through the tokenizer itself. Neither way remembers texts, so a worker's memory is that of a chunk.
 """
 
 from __future__ import annotations
 
-import itertools
+import json
 import re
 from collections.abc import Iterator
 
@@ -25,65 +26,70 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 LENGTH, END_ID, OPEN_BINS = 2048, 0, 4096
-#: A chunk of documents ends at so many bytes of text or rows; the memory of a worker's cache.
-CHUNK_BYTES, CHUNK_ROWS, CACHE_CUTS = 8_000_000, 20_000, 600_000
+#: A chunk of documents ends at so many bytes of text or rows.
+CHUNK_BYTES, CHUNK_ROWS = 4_000_000, 20_000
 SCHEMA = "piece int, start long, length long, ids binary, sequence_id long, offset long"
 
-_ODD = re.compile(r"\s | \s|\A | \Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: the byte-level pattern of the vocabulary's family, as published with it.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Latin, Greek, Cyrillic, punctuation, kana and unified ideographs: classes that no Unicode version has changed.
+_UNUSUAL = re.compile("[^\x00-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
+#: The pattern backtracks over white space; runs of this length are left to the tokenizer.
+_RUN, _LONG = re.compile(r"\s{10000}"), 10_000
+
+
+def _engine(path: str):
+    """The fast engine of a vocabulary file, or None where the file is no plain byte-level BPE."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and not spec.get("normalizer")
+        and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+        and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not plain:
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    special = {t["content"]: t["id"] for t in added}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = [(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [vocab.get("".join(m), -1) for m in merged]
+    if any(c not in of for t in vocab for c in t) or ids != sorted(set(ids)) or len(ids) != len(vocab) - 256:
+        return None  # the engine merges in the order of ids
+    import tiktoken
+
+    ranks = {bytes(of[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special, explicit_n_vocab=None)
 
 
 class Encoder:
     """ids of texts, as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        starts = [t.startswith("\u0120") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
-        self.starts = np.array(starts, bool)  # tokens whose text starts with a space
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.engine = _engine(path)
 
-    def _each(self, texts: list[str]) -> list[bytes]:
+    def _slow(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, cuts: list[str]) -> list[bytes]:
-        """Ids of each cut after a space. They are encoded in a row: only a cut's first token starts with the space."""
-        import numpy as np
-
-        out: list[bytes] = []
-        for at in range(0, len(cuts), 20_000):
-            part = cuts[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            edges = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
-            raw = ids.tobytes()
-            assert len(edges) == len(part) + 1, "a cut holds a space"
-            out += [raw[i:j] for i, j in itertools.pairwise(edges)]
-        return out
-
-    def _learn(self, cache: dict[str, bytes], wanted: set[str], make) -> None:
-        new = [w for w in wanted if w not in cache]
-        if len(cache) + len(new) > CACHE_CUTS:
-            cache.clear()
-            new = list(wanted)
-        cache.update(zip(new, make(new), strict=True))
-
-    def _make_rest(self, cuts: list[str]) -> list[bytes]:
-        plain = [c for c in cuts if " " not in c]
-        odd = [c for c in cuts if " " in c]
-        got = dict(zip(plain, self._joined(plain), strict=True)) | dict(zip(odd, self._each([" " + c for c in odd]), strict=True))
-        return [got[c] for c in cuts]
+    def _usual(self, text: str) -> bool:
+        return (text.isascii() or not _UNUSUAL.search(text)) and (len(text) < _LONG or not _RUN.search(text))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cuts}, self._each)
-        self._learn(self.rest, set().union(*(c[1:] for c in cuts)), self._make_rest)
-        first, rest = self.first, self.rest.__getitem__
-        return [first[c[0]] + b"".join(map(rest, c[1:])) for c in cuts]
+        if self.engine is None:
+            return self._slow(texts)
+        fast, slow = self.engine.encode_to_numpy, [i for i, t in enumerate(texts) if not self._usual(t)]
+        other = dict(zip(slow, self._slow([texts[i] for i in slow]), strict=True))
+        return [other[i] if i in other else fast(t, allowed_special="all").astype("<u4", copy=False).tobytes() for i, t in enumerate(texts)]
 
 
 class Bins:
