@@ -20,7 +20,7 @@ def labelled_sample(
     The rows of each class come in the order of a hash of their id, at most ``per_class`` of them
     and none longer than ``longest`` bytes, so the sample has a proven bound and is the same on
     every run. The weights restore the classes' shares among all labels. Ids with a null label or
-    with two different labels are left out.
+    with two different labels are left out; where an id has several texts, the least of them counts.
     """
     of = (
         labels.where(F.col(label).isin(0, 1) & (fold_of(F.col("doc_id")) != held_out))
@@ -36,9 +36,10 @@ def labelled_sample(
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
         .join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
         .orderBy(*order)
         .toPandas()
-        .drop_duplicates("doc_id")
     )
     y = rows["y"].to_numpy(int)
     total = max(1, sum(share.values()))

@@ -77,42 +77,37 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray):
 
 
 def _scorer(dictionaries, model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The score of each text. Only texts go to Python, and the scores come back."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Compressors(dictionaries) if dictionaries else None
-        for batch in batches:
+        for texts in batches:
             if of is None:
-                score = np.full(batch.num_rows, model)
+                yield pa.array(np.full(len(texts), model), pa.float64())
             else:
-                score = model(np.array([of((t.as_py() or "").encode()) for t in batch.column("text")]).reshape(batch.num_rows, -1))
-            rest = [batch.column(n) for n in batch.schema.names if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"] + ["score"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(score, pa.float64())], names=names)
+                found = [of((t.as_py() or "").encode()) for t in texts]
+                yield pa.array(model(np.array(found).reshape(len(texts), -1)), pa.float64())
 
-    return run
+    return score
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: int = 0, keep_text: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> DataFrame:
     """``doc_id, held_out, score`` of every row: the probability that its label is 1.
 
-    Null and empty texts are scored like any text (as empty), repeated rows get equal scores, other
-    columns are ignored. With no labels of one of the classes the score is the share of label 1
-    (0.5 without any label). With ``keep_text`` all columns of ``docs`` come back in a struct ``doc``.
+    Null and empty texts are scored like any text (as empty), long ones as a whole, repeated rows get
+    equal scores; other columns are ignored, whatever their names; an empty table gives an empty
+    result. With no labels of one of the classes the score is the share of label 1 (0.5 without any
+    label).
     """
-    dictionaries, model = train(*labelled_sample(docs, labels, "quality", held_out))
-    rows = docs.select(
-        F.col("doc_id"),
-        (fold_of(F.col("doc_id")) == held_out).alias("held_out"),
-        *([F.struct(*docs.columns).alias("doc")] if keep_text else []),
-        "text",
-    )
-    kinds = {f.name: f.dataType for f in rows.schema}
-    out = ", ".join(f"`{n}` {t.simpleString()}" for n, t in kinds.items() if n != "text")
-    return rows.mapInArrow(_scorer(dictionaries, model), f"{out}, score double")
+    score = _scorer(*train(*labelled_sample(docs, labels, "quality", held_out)))
+    return docs.select(F.col("doc_id"), (fold_of(F.col("doc_id")) == held_out).alias("held_out"), score(F.col("text")).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with the columns of ``docs``."""
-    return score_quality(docs, labels, keep_text=True).where(F.col("score") >= threshold).select("doc.*")
+    """The documents whose score reaches the threshold, with the columns of ``docs``. Edge cases as in ``score_quality``."""
+    score = _scorer(*train(*labelled_sample(docs, labels, "quality")))
+    return docs.where(score(F.col("text")) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

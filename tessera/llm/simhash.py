@@ -1,13 +1,15 @@
 """SimHash near-duplicates with BK-trees.
 
 Fingerprints are made in one narrow pass. Equal ones are put together, and the distinct ones are
-linked: two that differ in at most 4 of 64 bits agree on at least 2 of 6 blocks of bits, so each is
-sent to the 15 shards of its pairs of blocks. A shard builds a BK-tree (children keyed by their
-integer distance to the parent) and asks it for each fingerprint, following only edges within the
-radius. A tree reaches only the queries of its own shard: the trees of a whole corpus have no bound
-and are not broadcast. A shard that holds more than ``SHARD`` fingerprints is split into parts, and
-each pair of parts is a task of its own, so none grows with the largest group. What leaves a shard
-is a spanning forest of its links, at most one row a fingerprint, never all pairs.
+linked: two that differ in at most ``radius`` bits agree on ``agree`` of ``agree + radius`` blocks of
+bits, so each is sent to one shard for every choice of ``agree`` blocks. A shard's key is the first
+bits of these blocks, as many as give shards of about ``MEAN`` fingerprints at any size of the corpus.
+A shard builds a BK-tree (children keyed by their integer distance to the parent) and asks it for
+each fingerprint, following only edges within the radius. A tree reaches only the queries of its own
+shard: the trees of a whole corpus have no bound and are not broadcast. A shard that holds more than
+``SHARD`` fingerprints is split into parts, and each pair of parts is a task of its own, so none grows
+with the largest group. What leaves a shard is a spanning forest of its links, at most one row a
+fingerprint, never all pairs.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, join_counted, table
 from tessera.llm.components import components
 
-WORDS, RADIUS, SEED, BLOCKS = 4, 4, 42, 6
-#: A shard is split into parts of about so many fingerprints. Up to so many split shards are joined by broadcast.
-SHARD, BROADCAST_SHARDS = 2048, 100_000
+WORDS, RADIUS, SEED = 4, 4, 42
+#: Fingerprints that a shard has on average, and those of a part where a larger one is split. Up to so many split shards are joined by broadcast.
+MEAN, SHARD, BROADCAST_SHARDS = 512, 2048, 100_000
 #: Hashes whose bits are counted at once.
 AT_ONCE = 1 << 17
 
@@ -94,12 +96,11 @@ class BKTree:
                 stack += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
 
-def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``left``, or between ``left`` and ``right``."""
-    if right is None and len(left) == 2:
-        return [(left[1], left[0])] if (left[0] ^ left[1]).bit_count() <= radius else []
+def forest(left: list[tuple[int, int]], right: list[tuple[int, int]] | None, radius: int) -> list[tuple[int, int]]:
+    """Of nodes with fingerprints ``(node, x)``: a spanning forest of the links within ``left``, or between it and ``right``."""
     up: dict[int, int] = {}
     made: list[tuple[int, int]] = []
+    tree, holder = BKTree(), {}
 
     def top(x: int) -> int:
         while (y := up.get(x, x)) != x:
@@ -107,87 +108,117 @@ def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[
             x = y
         return x
 
-    tree = BKTree()
-    if right is not None:
-        for x in left:
-            tree.add(x)
-    for x in left if right is None else right:
-        for y in tree.near(x, radius):
-            if (a := top(x)) != (b := top(y)):
-                up[a] = b
-                made.append((x, y))
-        if right is None:
-            tree.add(x)
+    def link(x: int, y: int) -> None:
+        if (a := top(x)) != (b := top(y)):
+            up[a] = b
+            made.append((x, y))
+
+    def put(node: int, x: int) -> None:
+        holder[x] = node
+        tree.add(x)
+
+    for node, x in left if right is not None else []:
+        if x in holder:
+            link(node, holder[x])
+        else:
+            put(node, x)
+    for node, x in left if right is None else right:
+        if x in holder:  # all that is near an equal fingerprint is linked to it
+            link(node, holder[x])
+        if right is not None or x not in holder:
+            for y in tree.near(x, radius):
+                link(node, holder[y])
+        if right is None and x not in holder:
+            put(node, x)
     return made
 
 
 def _linker(radius: int):
-    """Sorted rows (shard, part, other, own, fp) -> links (a, b); groups may span batches."""
+    """Sorted rows (shard, part, other, own, node, fp) -> links (a, b) of nodes; groups may span batches."""
 
-    def flush(part: int, other: int, own: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-        values = fp.astype(np.uint64)
+    def flush(part: int, other: int, own: np.ndarray, node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+        values = [int.from_bytes(x, "little") for x in fp] if fp.dtype == object else fp.astype(np.uint64).tolist()
+        pairs, own = list(zip(node.tolist(), values, strict=True)), own.tolist()
         if part == other:
-            return forest(values.tolist(), None, radius)
-        return forest(values[own == part].tolist(), values[own == other].tolist(), radius)
+            return forest(pairs, None, radius)
+        return forest([p for p, o in zip(pairs, own, strict=True) if o == part], [p for p, o in zip(pairs, own, strict=True) if o == other], radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            if kept is None or not len(kept[0]):
-                continue
-            edge = np.flatnonzero((np.diff(kept[0]) != 0) | (np.diff(kept[1]) != 0) | (np.diff(kept[2]) != 0)) + 1
-            starts = np.concatenate([[0], edge])
-            ends = np.concatenate([edge, [len(kept[0])]])
-            if batch is not None:  # the last group may go on
-                rest = starts[-1]
-                starts, ends = starts[:-1], ends[:-1]
-            several = ends - starts > 1
+        for columns, groups in sorted_groups(batches, ("shard", "part", "other")):
             found: list[tuple[int, int]] = []
-            for i, j in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                found += flush(kept[1][i], kept[2][i], kept[3][i:j], kept[4][i:j])
-            if batch is not None:
-                kept = [x[rest:] for x in kept]
+            for i, j in groups:
+                if j - i > 1:
+                    found += flush(columns["part"][i], columns["other"][i], *(columns[c][i:j] for c in ("own", "node", "fp")))
             if found:
-                pairs = np.array(found, np.uint64).astype(np.int64)
+                pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _shards(fp, blocks: int, agree: int):
-    """Keys of the shards of a fingerprint: which blocks, and their bits."""
-    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    lows = [sum(widths[:i]) for i in range(blocks)]
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, int]]]]:
+    """Batches of rows sorted by ``key`` -> columns, and where each group ends that is whole by then."""
+    kept: dict[str, np.ndarray] = {}
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            new = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            kept = {n: np.concatenate([kept[n], x]) for n, x in new.items()} if kept else new
+        if not kept or not len(kept[key[0]]):
+            continue
+        edge = np.flatnonzero(np.logical_or.reduce([np.diff(kept[k]) != 0 for k in key])) + 1
+        edges = [0, *edge.tolist(), len(kept[key[0]])]
+        if batch is not None:  # the last group may go on
+            edges.pop()
+        yield kept, list(itertools.pairwise(edges))
+        kept = {n: x[edges[-1] :] for n, x in kept.items()}
+
+
+def dealt_in_parts(keyed: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """``keyed`` sorted by ``key, part, other``: a group of k ``parts`` (``key, parts``) comes as each pair of its parts.
+
+    ``own`` says to which of the two a row belongs. Groups that ``parts`` leaves out have one part.
+    """
+    if parts.count() <= BROADCAST_SHARDS:
+        parts = F.broadcast(parts)
+    several = F.coalesce("parts", F.lit(1))
+    dealt = keyed.join(parts, key, "left").withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "node"), several).cast("int"))
+    spread = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), several - 1)))
+    rows = spread.withColumns({"part": F.least("own", "_with"), "other": F.greatest("own", "_with")}).drop("_with", "parts")
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key, "part", "other").sortWithinPartitions(key, "part", "other")
+
+
+def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+    """``shard, node, fp`` (long, or little-endian binary) -> links ``a, b`` that connect whatever lies within the radius in a shard."""
+    large = checkpoint(keyed.groupBy("shard").count().where(F.col("count") > shard))
+    rows = dealt_in_parts(keyed, "shard", large.select("shard", F.ceil(F.col("count") / shard).cast("int").alias("parts")))
+    return rows.select("shard", "part", "other", "own", "node", "fp").mapInArrow(_linker(radius), "a long, b long").distinct()
+
+
+def _shards(fp, radius: int, n: int, mean: int):
+    """Keys of the shards of a fingerprint: which blocks, and their first bits."""
+    wanted = max(0, (n // mean).bit_length() - 1)
+    agree = 1
+    while agree * (64 // (agree + radius)) < wanted and agree + radius < 32:
+        agree += 1
+    blocks, bits = agree + radius, min(-(-wanted // agree), 64 // (agree + radius))
+    lows = [i * 64 // blocks for i in range(blocks)]
     keys = []
-    for c, chosen in enumerate(itertools.combinations(range(blocks), agree)):
-        mask = sum(((1 << widths[i]) - 1) << lows[i] for i in chosen)
+    for c, chosen in enumerate(itertools.combinations(lows, agree)):
+        mask = sum(((1 << bits) - 1) << low for low in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.xxhash64(F.lit(c), fp.bitwiseAND(F.lit(signed))))
+        keys.append(F.xxhash64(F.lit(c), fp.bitwiseAND(F.lit(signed).cast("long"))))
     return F.array(*keys)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
-    """``fp`` (distinct longs) -> links ``a, b`` that connect whatever lies within the radius.
+def links(distinct: DataFrame, n: int | None = None, radius: int = RADIUS, mean: int = MEAN, shard: int = SHARD) -> DataFrame:
+    """``fp`` (``n`` distinct longs) -> links ``a, b`` that connect whatever lies within the radius.
 
-    ``blocks - radius`` blocks agree for sure. Shard keys are hashed; a collision only adds
-    candidates, for every link is made by its distance.
+    Shard keys are hashed; a collision only adds candidates, for every link is made by its distance.
     """
-    keyed = distinct.select("fp", F.explode(_shards(F.col("fp"), blocks, blocks - radius)).alias("shard"))
-    large = checkpoint(keyed.groupBy("shard").count().where(F.col("count") > shard))
-    parts = large.select("shard", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
-    if large.count() <= BROADCAST_SHARDS:
-        parts = F.broadcast(parts)
-    own = F.pmod(F.xxhash64(F.lit("part"), "fp"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = keyed.join(parts, "shard", "left").withColumn("own", own)
-    spread = dealt.select(
-        "shard", "fp", "own", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("with_part")
-    ).select("shard", F.least("own", "with_part").alias("part"), F.greatest("own", "with_part").alias("other"), "own", "fp")
-    n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = spread.repartition(int(n), "shard", "part", "other").sortWithinPartitions("shard", "part", "other")
-    return rows.mapInArrow(_linker(radius), "a long, b long").distinct()
+    keys = _shards(F.col("fp"), radius, distinct.count() if n is None else n, mean)
+    keyed = distinct.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("shard"))
+    return link_shards(keyed, radius, shard)
 
 
 def _printer(words: int, seed: int):
@@ -212,15 +243,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType.simpleString()
     prints = checkpoint(rows.mapInArrow(_printer(words, seed), f"doc_id {kind}, fp long"))
     groups = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("group_size")))
-    roots = components(links(groups.select("fp"), radius))
+    distinct = groups.count()
+    roots = components(links(groups.select("fp"), distinct, radius))
     rooted = groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = checkpoint(rooted.join(least, "root").select("fp", "group_size", "component_id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    labelled = checkpoint(join_counted(rooted, least, "root", distinct, size="prints").select("fp", "group_size", "component_id"))
     return join_counted(prints, labelled, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, one of each group of near copies: five-word shingles, similarity 0.8 (see ``llm.jaccard``)."""
+    """The documents, one of each group of near copies: five-word shingles, similarity 0.8 (see ``llm.jaccard``).
+
+    Fingerprints of 256 bits and BK-trees give the candidates, the exact similarity of their texts
+    decides. Nulls, empty and long texts, repeated rows and clashing names: see ``drop_similar``.
+    """
     from tessera.llm.jaccard import drop_similar
 
     return drop_similar(docs, id_col, text_col, **options)

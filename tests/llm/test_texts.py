@@ -68,6 +68,68 @@ def test_split_shards_lose_no_link(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("n", [0, 3, 600, 40_000, 1 << 24, 1 << 40])
+def test_near_fingerprints_share_a_shard(spark, n):
+    rng = np.random.default_rng(n % 1000)
+    pairs = []
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
+        pairs.append((a, a ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False))))
+    signed = [tuple(f - (1 << 64) if f >= 1 << 63 else f for f in p) for p in pairs]
+    df = spark.createDataFrame(signed, "a long, b long")
+    keys = [simhash._shards(df[c], 4, n, 512) for c in "ab"]
+    from pyspark.sql import functions as F
+
+    assert df.where(F.arrays_overlap(*keys)).count() == len(pairs)
+
+
+def test_tree_follows_only_edges_within_the_radius():
+    rng = np.random.default_rng(5)
+    values = list({int(x) for x in rng.integers(0, 1 << 20, 2000)})
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for x in rng.integers(0, 1 << 20, 50).tolist():
+        assert sorted(tree.near(x, 3)) == sorted(v for v in values if (v ^ x).bit_count() <= 3)
+
+
+@pytest.mark.parametrize("right", [False, True])
+def test_forest_connects_what_is_near(right):
+    rng = np.random.default_rng(6)
+    nodes = [(i, int(x)) for i, x in enumerate(rng.integers(0, 1 << 9, 160))]
+    one, two = (nodes[:80], nodes[80:]) if right else (nodes, None)
+    made = simhash.forest(one, two, 1)
+    up = brute_components([i for i, _ in nodes], [x for _, x in nodes], 1)
+    near = [(a, b) for a, x in one for b, y in (two or one) if a != b and (x ^ y).bit_count() <= 1]
+    assert len(made) < len(nodes) and all((dict(nodes)[a] ^ dict(nodes)[b]).bit_count() <= 1 for a, b in made)
+    group = {i: i for i, _ in nodes}
+    for a, b in made:
+        old, new = group[a], group[b]
+        group = {i: new if g == old else g for i, g in group.items()}
+    assert all(group[a] == group[b] for a, b in near) and all(up[a] == up[b] for a, b in made)
+
+
+def test_similar_sets_in_parts():
+    from tessera.llm import jaccard
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 60, 40)
+    sets = [np.unique(np.append(rng.choice(base, int(rng.integers(30, 41)), replace=False), rng.integers(0, 1 << 60, 2))).astype(np.uint64) for _ in range(60)]
+    near = {(i, j) for i in range(60) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+
+    def classes(pairs):
+        up = list(range(60))
+        for a, b in pairs:
+            old, new = up[a], up[b]
+            up = [new if g == old else g for g in up]
+        return sorted(sorted(i for i in range(60) if up[i] == g) for g in set(up))
+
+    whole = jaccard.similar(sets, None, 0.8)
+    parts = jaccard.similar(sets[:25], None, 0.8) + [(a + 25, b + 25) for a, b in jaccard.similar(sets[25:], None, 0.8)] + jaccard.similar(sets[:25], sets[25:], 0.8)
+    assert set(whole) <= near and len(whole) < 60 < len(near)
+    assert classes(whole) == classes(parts) == classes(near)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     roots = {r.node: r.root for r in components.components(edges).collect()}
@@ -80,7 +142,7 @@ def test_simhash_odd_rows(odd, none):
     assert {r.doc_id: r.component_id for r in rows if r.doc_id in (3, 4, 5)} == {3: 3, 4: 3, 5: 3}
     kept = simhash.drop_near(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id in (1, 2, 3, 4, 5)) == [1, 3]
-    assert simhash.near_groups(none).count() == 0
+    assert simhash.near_groups(none).count() == 0 and simhash.drop_near(none).count() == 0
 
 
 def encoder():
@@ -295,8 +357,7 @@ def test_pipeline_stages(spark, sf):
         seen.append(out.toPandas())
     good, exact, near, mixed = seen[1:]
     assert len(good) < len(seen[0]) and exact.text.is_unique and set(exact.text) == set(good.text)
-    comp = brute_components(exact.doc_id.tolist(), brute_prints(exact.text))
-    assert set(near.doc_id) == set(comp.values())
+    assert set(near.doc_id) == brute_similar(list(zip(exact.doc_id, exact.text, strict=True)))
     assert set(mixed.doc_id) <= set(near.doc_id) and mixed.doc_id.value_counts().max() <= 3
     rows = p.packed(spark, spark.createDataFrame(mixed), sf).toPandas()
     assert rows.groupby("sequence_id").length.sum().max() <= 2048
@@ -320,7 +381,8 @@ def brute_similar(rows):
     return {top(i) for i in up}
 
 
-def test_drop_near_against_brute_force_jaccard(spark, sf):
+@pytest.mark.parametrize("part", [400_000, 3000])
+def test_drop_near_against_brute_force_jaccard(spark, sf, part):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(3000)]
     rows = []
@@ -333,7 +395,7 @@ def test_drop_near_against_brute_force_jaccard(spark, sf):
                 text[at] = str(rng.choice(words))
     rows = list(enumerate(rows)) + [(1000 + r.doc_id, r.text) for r in pdf(spark, sf).itertuples()]
     want = brute_similar(rows)
-    got = [r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()]
     assert len(got) == len(want) and set(got) == want and 40 < len([i for i in want if i < 1000]) < 240
 
 
