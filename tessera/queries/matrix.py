@@ -211,22 +211,30 @@ def zero_one(spark, sf):
 
 # cleaning
 
-CLEAN = """g1 AS (SELECT gene FROM gs, dim WHERE n_cells > round_even(c * 0.26, 0)),
+CLEAN = """q AS (SELECT (SELECT quantile_disc(n_cells, 0.25) FROM gs) / c::DOUBLE AS few_cells, (SELECT quantile_disc(n_genes, 0.25) FROM cs) / g::DOUBLE AS few_genes FROM dim),
+g1 AS (SELECT gene FROM gs, dim, q WHERE n_cells > round_even(c * few_cells, 0)),
 k1 AS (SELECT counts.* FROM counts JOIN g1 USING (gene)),
-c1 AS (SELECT cell, count(*) AS k FROM k1 GROUP BY cell HAVING count(*) > round_even((SELECT count(*) FROM g1) * 0.24, 0)),
+c1 AS (SELECT cell, count(*) AS k FROM k1 GROUP BY cell HAVING count(*) > round_even((SELECT count(*) FROM g1) * (SELECT few_genes FROM q), 0)),
 k2 AS (SELECT k1.* FROM k1 JOIN c1 USING (cell)),
 """
 
 
+def cleaned(spark: SparkSession, sf: str) -> CountDataset:
+    """Cut at the lower quartiles of the matrix, so that it makes sense at any size."""
+    ds = dataset(spark, sf)
+    quartile = lambda df, c: df.agg(F.expr(f"percentile_disc(0.25) WITHIN GROUP (ORDER BY {c})").alias("q")).first()["q"]
+    return R.clean(ds, quartile(R.expressing_cells(ds), "n_cells") / ds.n_cells, quartile(R.expressed_genes(ds), "n_genes") / ds.n_genes)
+
+
 @query("clean_genes_cells", "SELECT gene, count(*) AS n_cells, sum(n)::BIGINT AS size FROM k2 GROUP BY gene", CLEAN)
 def clean_genes_cells(spark, sf):
-    ds = R.clean(dataset(spark, sf), 0.26, 0.24)
+    ds = cleaned(spark, sf)
     return R.expressing_cells(ds).join(R.gene_sizes(ds), ["gene", "pos"]).select("gene", "n_cells", "size")
 
 
 @query("clean_nu", "SELECT cell, round(sum(n) / (SELECT avg(s) FROM (SELECT sum(n) AS s FROM k2 GROUP BY cell)), 6) AS nu FROM k2 GROUP BY cell", CLEAN)
 def clean_nu(spark, sf):
-    return R.clean(dataset(spark, sf), 0.26, 0.24).cells.select("cell", r6("nu").alias("nu"))
+    return cleaned(spark, sf).cells.select("cell", r6("nu").alias("nu"))
 
 
 @query("fully_expressed_genes", "SELECT gene, n_cells >= 0.26 * c AS fe_genes FROM gs, dim")
