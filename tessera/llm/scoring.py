@@ -34,10 +34,10 @@ def canonical(text: str) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + END
 
 
-def _word_key(word: bytes) -> int:
+def _word_keys(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word)
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _is_training(ids: pa.ChunkedArray, held_out: int) -> np.ndarray:
@@ -59,53 +59,65 @@ def _word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Positions of the keys of each bucket, in the keys' order."""
+def _split(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """Positions of the keys of each bucket that has some, in the keys' order."""
     order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return {b: order[edges[b] : edges[b + 1]] for b in np.flatnonzero(np.diff(edges)).tolist()}
 
 
 class BlockView:
-    """What a block of texts holds, the same whenever it is taken: distinct words and codes in order."""
+    """What a block of texts holds, the same whenever it is taken: words, codes, and the distinct ones in order."""
 
     def __init__(self, part: pa.Table, held_out: int, depth: int):
         self.training = _is_training(part["doc_id"], held_out)
         texts = [canonical(t.as_py()) for t in part["text"]]
         self.words = [[*w, END] for w, _ in texts]
         self.lengths = np.array([len(b) for _, b in texts], np.int64)
-        self.codes = [codes_of(np.frombuffer(b, np.uint8), depth) for _, b in texts]
+        codes = [codes_of(np.frombuffer(b, np.uint8), depth) for _, b in texts]
+        self.codes = np.concatenate([np.zeros(0, np.uint64), *codes])
         distinct = list(set().union(*self.words)) if self.words else []
-        self.keys, place = np.unique(np.array([_word_key(w) for w in distinct], np.uint64), return_inverse=True)
+        self.keys, place = np.unique(_word_keys(distinct), return_inverse=True)
         self.number = dict(zip(distinct, place.tolist(), strict=True))
-        flat = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint64)
-        self.order = np.argsort(flat, kind="stable")
-        ranked = flat[self.order]
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(flat) else np.zeros(0, bool)
-        self.distinct, self.rank = ranked[first], np.cumsum(first) - 1
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """How often each word and each code occurs in the training texts."""
-        words = Counter(w for ws, t in zip(self.words, self.training, strict=True) if t for w in ws)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how often each word occurs in the training texts, the distinct codes, and how often each of them does)."""
+        words = Counter()
+        for ws, t in zip(self.words, self.training, strict=True):
+            if t:
+                words.update(ws)
         word_counts = np.zeros(len(self.keys), np.int64)
-        for w, n in words.items():
-            word_counts[self.number[w]] += n
-        trained = np.repeat(self.training, self.lengths)[self.order]
-        return word_counts, np.bincount(self.rank[trained], minlength=len(self.distinct))
+        np.add.at(word_counts, [self.number[w] for w in words], list(words.values()))
+        distinct = _distinct(np.sort(self.codes))[0]
+        known, n = _distinct(np.sort(self.codes[np.repeat(self.training, self.lengths)]))
+        counts = np.zeros(len(distinct), np.int64)
+        counts[np.searchsorted(distinct, known)] = n
+        return word_counts, distinct, counts
+
+
+def _distinct(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an array in order, and how often each occurs."""
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    starts = np.flatnonzero(new)
+    return ranked[starts], np.diff(np.append(starts, len(ranked)))
 
 
 def _ask(buckets: int, held_out: int, depth: int):
     def run(key, part):
         view = BlockView(part, held_out, depth)
-        word_counts, code_counts = view.counts()
+        word_counts, distinct, code_counts = view.counts()
         words = _split(view.keys, _word_bucket(view.keys, buckets), buckets)
-        codes = _split(view.distinct, _code_bucket(view.distinct, buckets, depth), buckets)
+        codes = _split(distinct, _code_bucket(distinct, buckets, depth), buckets)
+        some, none = sorted({*words, *codes}), np.zeros(0, np.int64)
+        words, codes = ([of.get(b, none) for b in some] for of in (words, codes))
         return pa.table(
             {
-                "bucket": pa.array(range(buckets), pa.int32()),
-                "block": pa.array([key[0].as_py()] * buckets, pa.int32()),
+                "bucket": pa.array(some, pa.int32()),
+                "block": pa.array([key[0].as_py()] * len(some), pa.int32()),
                 "words": pa.array([pack_sorted(view.keys[i]) for i in words], pa.binary()),
                 "word_counts": pa.array([pack_small(word_counts[i]) for i in words], pa.binary()),
-                "codes": pa.array([pack_sorted(view.distinct[i]) for i in codes], pa.binary()),
+                "codes": pa.array([pack_sorted(distinct[i]) for i in codes], pa.binary()),
                 "code_counts": pa.array([pack_small(code_counts[i]) for i in codes], pa.binary()),
             }
         )
@@ -153,7 +165,7 @@ def _answer(depth: int):
         node, zeros, ones, below = (top[c].to_numpy()[order] for c in ("node", "zeros", "ones", "below"))
         trees.add_top(node[1:].astype(np.uint64), zeros[1:], ones[1:], below[1:])
         asked = np.unique(np.concatenate(codes))
-        log10 = trees.log10(asked).astype("<f4")
+        log10 = trees.log10(asked).astype("<f8")
         replies = []
         for w, c in zip(words, codes, strict=True):
             found = np.zeros(len(w), np.int64)
@@ -177,18 +189,21 @@ def _answer(depth: int):
 
 def _score(buckets: int, held_out: int, depth: int):
     def run(key, part, replies):
+        import pandas as pd
+
         view = BlockView(part, held_out, depth)
-        by = {b.as_py(): i for i, b in enumerate(replies["bucket"])}
-        counts, logs = np.zeros(len(view.keys), np.int64), np.zeros(len(view.distinct))
+        label, distinct = pd.factorize(view.codes)
+        ranked = np.argsort(distinct)
+        counts, logs = np.zeros(len(view.keys), np.int64), np.zeros(len(distinct))
         words = _split(view.keys, _word_bucket(view.keys, buckets), buckets)
-        codes = _split(view.distinct, _code_bucket(view.distinct, buckets, depth), buckets)
-        for b in range(buckets):
-            i = by[b]
-            counts[words[b]] = unpack_small(replies["counts"][i].as_py(), len(words[b]))
-            logs[codes[b]] = np.frombuffer(replies["log10"][i].as_py(), "<f4")
+        codes = _split(distinct, _code_bucket(distinct[ranked], buckets, depth), buckets)
+        for i, b in enumerate(replies["bucket"].to_pylist()):
+            if b in words:
+                counts[words[b]] = unpack_small(replies["counts"][i].as_py(), len(words[b]))
+            if b in codes:
+                logs[ranked[codes[b]]] = np.frombuffer(replies["log10"][i].as_py(), "<f8")
         total, distinct = replies["total"][0].as_py(), replies["distinct"][0].as_py()
-        each = np.empty(len(view.order))
-        each[view.order] = logs[view.rank]
+        each = logs[label]
         starts = np.concatenate([[0], np.cumsum(view.lengths)[:-1]]).astype(np.int64)
         rest = np.log10(total + 0.5 * (distinct + 1))
         n_tokens, n_known, base = [], [], []
@@ -222,6 +237,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored; an empty table gives an empty result. Without training documents every decision
     has probability one half.
     """
+    if not ROOT <= depth <= 7:
+        raise ValueError(f"a depth from {ROOT} to 7: a code is a 64-bit integer")
     dealt, buckets = deal(docs, id_col, text_col)
     by_block = dealt.groupBy("block")
     asked = by_block.applyInArrow(
