@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +14,19 @@ from tessera.llm.common import fold_of
 ROWS_PER_CLASS, LONGEST = 5000, 120_000
 
 
+class Sample(NamedTuple):
+    """Texts with their labels, weights and groups (None where no column was asked for)."""
+
+    texts: list[str]
+    y: np.ndarray
+    weight: np.ndarray
+    groups: list
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, per_class: int = ROWS_PER_CLASS, longest: int = LONGEST
-) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(texts, labels, weights) of a bounded sample of the rows outside the held-out fold.
+    docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, per_class: int = ROWS_PER_CLASS, longest: int = LONGEST, group_col: str | None = None
+) -> Sample:
+    """A bounded sample of the rows outside the held-out fold.
 
     The rows of each class come in the order of a hash of their id, at most ``per_class`` of them
     and none longer than ``longest`` bytes, so the sample has a proven bound and is the same on
@@ -32,19 +43,21 @@ def labelled_sample(
     share = {r["y"]: r["count"] for r in of.groupBy("y").count().collect()}
     order = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")]
     picked = of.where("y = 0").orderBy(*order).limit(per_class).unionByName(of.where("y = 1").orderBy(*order).limit(per_class))
+    group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     rows = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
+        docs.select("doc_id", F.struct(F.col("text"), group.alias("group")).alias("row"))
+        .where(F.col("row.text").isNotNull() & (F.octet_length("row.text") <= longest))
         .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "y")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min("row").alias("row"))
         .orderBy(*order)
+        .select("y", "row.*")
         .toPandas()
     )
     y = rows["y"].to_numpy(int)
     total = max(1, sum(share.values()))
     weight = np.array([share.get(c, 0) / total / max(1, (y == c).sum()) for c in y])
-    return rows["text"].tolist(), y, weight * len(y)
+    return Sample(rows["text"].tolist(), y, weight * len(y), [g if isinstance(g, str) else None for g in rows["group"]])
 
 
 class Logistic:

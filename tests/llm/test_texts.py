@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, ctw, neighbours, packing, quality, scoring, simhash, substring_dedup, toxicity
 
@@ -78,8 +79,6 @@ def test_near_fingerprints_share_a_shard(spark, n):
     signed = [tuple(f - (1 << 64) if f >= 1 << 63 else f for f in p) for p in pairs]
     df = spark.createDataFrame(signed, "a long, b long")
     keys = [simhash._shards(df[c], 4, n, 512) for c in "ab"]
-    from pyspark.sql import functions as F
-
     assert df.where(F.arrays_overlap(*keys)).count() == len(pairs)
 
 
@@ -218,25 +217,32 @@ def brute_repeats(rows, span=50):
     return out
 
 
-def test_repeats_against_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BATCH", 2000)
+@pytest.mark.parametrize(("batch", "hot"), [(400_000, 500_000), (2000, 500_000), (2000, 20), (2000, 0)])
+def test_repeats_against_brute_force(spark, sf, monkeypatch, batch, hot):
+    monkeypatch.setattr(substring_dedup, "BATCH", batch)
     extra = [(10001, "a" * 300), (10002, None), (10003, "a" * 120 + "b" * 60), (10004, "ab" * 100), (10005, "x" * 49), (10006, "ab" * 90 + "é" * 60)]
     rows = [*pdf(spark, sf)[["doc_id", "text"]].itertuples(index=False, name=None), *extra]
-    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
     for i, (removed, spans, kept) in brute_repeats(rows).items():
         assert (got[i].n_removed, len(got[i].spans), bytes(got[i].kept)) == (removed, spans, kept)
         assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
-def test_family_of_levels():
-    family, seen, rng = substring_dedup.Family(), {}, np.random.default_rng(2)
+def test_family_of_levels(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SCAN", 7)
+    family, seen, rng = substring_dedup.Family(5), {}, np.random.default_rng(2)
     for doc in range(60):
-        words = rng.integers(0, 300, 40).astype("S5")
-        hit = family.add(words, np.full(40, doc))
-        assert hit.tolist() == [seen.get(w, doc) < doc for w in words]
-        for w in words:
-            seen.setdefault(w, doc)
-    assert len(family.levels) <= 8
+        text = rng.choice(np.frombuffer(b"abc", np.uint8), 80).tobytes()
+        at = np.arange(76)
+        got = family.add(text, at, np.full(76, doc))
+        for p in at.tolist():
+            seen.setdefault(text[p : p + 5], doc)
+        assert got.tolist() == [seen[text[p : p + 5]] for p in at.tolist()]
+        for level in family.levels:
+            strings = [level.text[p : p + 5] for p in level.at.tolist()]
+            assert strings == sorted(set(strings))
+    sizes = [len(x.at) for x in family.levels]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) <= 8
 
 
 def test_repeats_odd_rows(odd, none):
@@ -266,13 +272,80 @@ def test_classifiers_odd_rows(spark, odd, none, labels):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
-def test_language_thresholds(spark):
-    rows = [(i, i % 3 == 0, (i % 10) / 10, "en" if i % 2 else "de") for i in range(300)]
-    scored = spark.createDataFrame([(a, b, c) for a, b, c, _ in rows], "doc_id long, held_out boolean, score double")
-    langs = spark.createDataFrame([(a, d) for a, _, _, d in rows], "doc_id long, lang string")
-    labels = spark.createDataFrame([(a, int(c >= (0.3 if d == "en" else 0.6))) for a, _, c, d in rows], "doc_id long, toxic int")
-    got = {r.lang: r.threshold for r in toxicity.language_thresholds(scored, labels, langs).collect()}
-    assert got["en"] == pytest.approx(0.3) and got["de"] == pytest.approx(0.6)
+def test_best_threshold_against_all():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        score, y, weight = rng.integers(0, 12, 40) / 12, rng.integers(0, 2, 40), rng.random(40)
+        y[:2] = 0, 1
+
+        def f1(t, score=score, y=y, weight=weight):
+            hit = score >= t
+            return 2 * weight[hit & (y == 1)].sum() / (weight[hit].sum() + weight[y == 1].sum())
+
+        got = toxicity.best_threshold(score, y, weight)
+        assert f1(got) == pytest.approx(max(f1(t) for t in score))
+    assert toxicity.best_threshold(np.ones(3), np.ones(3, int), np.ones(3)) == 0.5
+
+
+def test_flags_by_language(spark):
+    rng = np.random.default_rng(13)
+    good = {"en": ["calm", "river", "stone"], "de": ["haus", "baum", "weg"]}
+    rows, marks = [], []
+    for i in range(400):
+        lang = ("en", "de", None)[i % 3]
+        words = list(rng.choice(good[lang or "en"], 12))
+        if i % 4 == 0:
+            words[int(rng.integers(12))] = "vile"
+        rows.append((i, " ".join(words), lang, "x"))
+        marks.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame([*rows, (401, None, "fr", "x"), (402, "calm vile", "", "x")], "doc_id long, text string, lang string, threshold string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.flag_toxic(docs, labels).collect()}
+    assert len(got) == 402 and got[401].threshold == 0.5 and got[402].threshold == got[2].threshold
+    assert all(got[i].flagged == (got[i].score >= got[i].threshold) for i in got)
+    assert np.mean([got[i].flagged == bool(t) for i, t in marks]) > 0.95
+    bare = toxicity.flag_toxic(docs.drop("lang"), labels).collect()
+    assert {r.threshold for r in bare} == {0.5} and {r.doc_id: r.score for r in bare} == pytest.approx({i: r.score for i, r in got.items()})
+    # what the held-out fold's labels say changes nothing
+    other = labels.withColumn("toxic", F.when(toxicity.fold_of(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r.doc_id: (r.score, r.threshold) for r in toxicity.flag_toxic(docs, other).collect()}
+    assert again == {i: (r.score, r.threshold) for i, r in got.items()}
+
+
+def test_network_against_loops():
+    """Scores of the network, computed once more word by word."""
+    net = toxicity.Network()
+    texts = ["a calm river runs", "", "Stone; stone!", "\u00c9t\u00e9 caf\u00e9 " * 30]
+    for t, got in zip(texts, net.scores(texts), strict=True):
+        words = [toxicity.buckets(w) for w in t.encode().lower().split()] + [(0,) * 5] * max(toxicity.WIDTHS)
+        vectors = [sum(net.table[b] for b in w) for w in words]
+        top = []
+        for k, conv in zip(toxicity.WIDTHS, net.conv, strict=True):
+            for f in range(toxicity.FILTERS):
+                top.append(max(0.0, *(sum(float(vectors[i + j] @ conv[j][:, f]) for j in range(k)) for i in range(len(words) - k + 1))))
+        assert got == pytest.approx(1 / (1 + math.exp(-float(np.dot(top, net.out) + net.bias))), rel=1e-4)
+
+
+def test_compression_features_by_hand():
+    """The features of a text, computed once more with compressors made anew for each chunk."""
+    import zstandard
+
+    good, bad = b"a fine and quiet morning in the valley " * 200, b"xkqz 99 !! zzzz click here now " * 200
+    pairs = [(good[:4000], bad[:4000]), (good[:4000].translate(quality.SHAPE), bad[:4000].translate(quality.SHAPE))]
+    text = (b"A quiet morning, 1999. " * 120)[:2500]
+
+    def size(raw, dictionary=None):
+        c = zstandard.ZstdCompressor(quality.LEVEL, dict_data=dictionary and zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(raw))
+
+    got = quality.Compressors(pairs)(text)
+    for at, (view, (g, b)) in enumerate(zip((text, text.translate(quality.SHAPE)), pairs, strict=True)):
+        parts = [view[i : i + quality.CHUNK] for i in range(0, len(view), quality.CHUNK)]
+        sums = [sum(size(p, d) for p in parts) for d in (g, b, None)]
+        assert got[at] == pytest.approx((sums[1] - sums[0]) / sums[2])
+    ratio = size(text) / (len(text) + 30)
+    assert got[2:] == pytest.approx([ratio, math.log(ratio + 0.01), math.log(len(text) + 1)])
+    assert quality.Compressors(pairs)(b"")[:2] == [0, 0]
 
 
 def test_context_trees_sum_to_one():
@@ -291,6 +364,69 @@ def test_one_node_is_the_kt_estimate():
     assert trees.log10(np.array([ord("a")], np.uint64))[0] == pytest.approx(8 * math.log10(4.5 / 5))
 
 
+def recursive_log10(texts, depth):
+    """Context-tree weighting from its definition, on dictionaries: a function from a text to its log10 probability."""
+    counts = defaultdict(lambda: [0, 0])
+    children = defaultdict(set)
+
+    def decisions(raw):
+        for i, byte in enumerate(raw):
+            past = (b"\n" * depth + raw[:i])[::-1][:depth]  # latest byte first
+            for bit in range(8):
+                yield past, (bit, byte >> (8 - bit)), byte >> (7 - bit) & 1
+
+    for raw in texts:
+        for past, node, one in decisions(raw):
+            for d in range(depth + 1):
+                counts[past[:d], node][one] += 1
+                if d:
+                    children[past[: d - 1], node].add((past[:d], node))
+
+    def log_pe(key):
+        a, b = counts[key]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    known = {}
+
+    def log_pw(key):
+        if key not in known:
+            if len(key[0]) == depth:
+                known[key] = log_pe(key)
+            else:
+                own, below = log_pe(key), sum(map(log_pw, children[key]))
+                high = max(own, below)
+                known[key] = high + math.log(math.exp(own - high) + math.exp(below - high)) - math.log(2)
+        return known[key]
+
+    def p(past, node, one, d):
+        key = past[:d], node
+        a, b = counts[key]
+        kt = ((b if one else a) + 0.5) / (a + b + 1)
+        if d == depth or (past[: d + 1], node) not in counts:
+            return kt
+        ratio = sum(map(log_pw, children[key])) - log_pe(key)
+        stop = 1 / (1 + math.exp(min(ratio, 700)))
+        return stop * kt + (1 - stop) * p(past, node, one, d + 1)
+
+    def score(raw):
+        return sum(math.log10(p(past, node, one, 0) if (b"", node) in counts else 0.5) for past, node, one in decisions(raw))
+
+    return score
+
+
+def test_scores_against_the_definition(spark):
+    words = ["the", "cat", "sat", "on", "mat", "Dog", "caf\u00e9", "123"]
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 12))))) for i in range(60)] + [(60, None), (61, "zebra \u4e2d"), (None, "the cat")]
+    train = [scoring.canonical(t or "")[1] for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    for depth in (2, 3, ctw.DEPTH):
+        want = recursive_log10(train, depth)
+        got = {r.doc_id: r.score for r in scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            assert got[i] == pytest.approx(want(scoring.canonical(t or "")[1]), rel=1e-9)
+
+
 def test_scores_against_brute_force(spark, sf):
     rows = pdf(spark, sf)
     words, codes = Counter(), []
@@ -309,7 +445,7 @@ def test_scores_against_brute_force(spark, sf):
         base = sum(math.log10((words[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(words[x] > 0 for x in w), n)
         assert got[i].base_score == pytest.approx(base)
-        assert got[i].score == pytest.approx(trees.log10(ctw.codes_of(np.frombuffer(b, np.uint8))).sum(), rel=1e-4, abs=1e-4)
+        assert got[i].score == pytest.approx(trees.log10(ctw.codes_of(np.frombuffer(b, np.uint8))).sum(), rel=1e-9, abs=1e-9)
 
 
 def test_scores_odd_rows(odd, none):
