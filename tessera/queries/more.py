@@ -183,3 +183,47 @@ def packed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     pairs = P.coex(ds).join(names.toDF("x1", "j"), "x1").join(names.toDF("x2", "i"), "x2")
     packed = pairs.select(P.pack_position(F.col("i"), F.col("j"), ds.n_genes).alias("position"), F.col("coex").alias("value"))
     return P.unpack(packed, names).select("x1", "x2", r6("value").alias("coex"))
+
+
+def planted(spark: SparkSession, sf: str) -> tuple[CountDataset, DataFrame]:
+    """(a matrix of 40 genes over the suppliers, ``cell, cluster``): two kinds of suppliers that express other genes.
+
+    Counts are drawn by a hash of gene and cell, so every engine and run has the same.
+    """
+    cells = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("cell"), (F.col("s_suppkey") % 2).alias("kind"))
+    drawn = F.pmod(F.xxhash64(F.lit("planted"), "gene", "cell"), F.lit(100))
+    rows = cells.withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    own = F.when(F.col("gene") < 10, F.col("kind") == 0).when(F.col("gene") < 20, F.col("kind") == 1).otherwise(F.lit(None))
+    n = F.when(own.isNull(), F.floor(drawn / 34)).when(own, 3 + drawn % 3).otherwise(F.lit(0))
+    counts = rows.select("gene", "cell", n.cast("long").alias("n"))
+    kinds = cells.select("cell", F.concat(F.col("kind").cast("string"), F.lit("_"), (F.floor(F.col("cell") / 2) % 2).cast("string")).alias("cluster"))
+    return settled(M.estimate_dispersion(M.estimate_nu(M.estimate_lambda(settled(CountDataset.build(counts)))))), kinds
+
+
+def _by_least(clusters: DataFrame) -> DataFrame:
+    """Clusters named by their smallest cell, for their numbers hang on the tree."""
+    real = clusters.where("cluster <> '-1'").groupBy("cluster").agg(F.min("cell").alias("least"))
+    return clusters.join(real, "cluster", "left").select("cell", "least")
+
+
+@query
+def uniform_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The two planted kinds, found and checked."""
+    ds, _ = planted(spark, sf)
+    found = pipelines.uniform_clusters(ds, gdi_threshold=2.0, minimum_size=20, reduction={"method": "LN", "components": 5, "genes": "HVG_Scanpy", "k": 30})
+    return _by_least(found[0])
+
+
+@query
+def merge_uniform_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Halves of the planted kinds, merged where their unions are uniform."""
+    from tessera.operators.uniformity import GDICheck, SimpleCheck
+
+    ds, halves = planted(spark, sf)
+    checkers = [SimpleCheck(GDICheck(gdi_threshold=t)) for t in (1.5, 2.0)]
+    return _by_least(pipelines.merge_uniform_clusters(ds, halves, checkers)[0])
+
+
+ORACLES["uniform_clusters"] = """
+SELECT s_suppkey AS cell, CASE WHEN count(*) OVER () >= 40 THEN min(s_suppkey) OVER (PARTITION BY s_suppkey % 2) END AS least FROM supplier"""
+ORACLES["merge_uniform_clusters"] = "SELECT s_suppkey AS cell, min(s_suppkey) OVER (PARTITION BY s_suppkey % 2) AS least FROM supplier"

@@ -206,10 +206,10 @@ def test_uniform_pairs_of_the_first_batch_merge(fit, monkeypatch):
 
     from tessera.plans import pipelines
 
-    monkeypatch.setattr(pipelines, "check_uniformity", lambda ds, cells, checker, **o: replace(checker, is_uniform=True, cluster_size=cells.count()))
+    monkeypatch.setattr(pipelines, "check_uniformity", lambda ds, cells, checker, *a, **o: replace(checker, check_=replace(checker.check_, quantile_at_ratio=1.0), is_uniform=True, cluster_size=cells.count()))
     labels = fit.cells.select("cell", F.when(F.col("cell") < "k", "a").otherwise("b").alias("cluster"))
     merged, _, checks = pipelines.merge_uniform_clusters(fit, labels, [U.SimpleCheck()])
-    assert merged.select("cluster").distinct().count() == 1 and list(checks) == [("a", "b")]
+    assert merged.select("cluster").distinct().count() == 1 and list(checks) == ["a_b-merge"]
 
 
 def test_documents_keep_the_words_of_one_language(spark, sf):
@@ -218,3 +218,54 @@ def test_documents_keep_the_words_of_one_language(spark, sf):
     ds = documents(spark, sf)
     by = ds.counts.join(languages(ds, sf), "cell").groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("cluster") == "es").cast("double")).alias("es"))
     assert by.where("n >= 3 and es >= 0.8").count() > 0
+
+
+def test_uniform_clusters_resume(spark, tmp_path):
+    """Two planted kinds are found; the dumps are there, and a stopped run goes on from them."""
+    from tessera.plans import pipelines
+    from tessera.queries.more import planted
+
+    ds, halves = planted(spark, "/root/testdata/sf0.01")
+    kinds = halves.select("cell", F.substring("cluster", 1, 1).alias("cluster"))
+    half = kinds.select("cell", F.when(F.col("cluster") == "0", "a").otherwise(F.concat(F.lit("b"), (F.col("cell") % 3).cast("string"))).alias("cluster"))
+    first, _, checks = pipelines.uniform_clusters(ds, gdi_threshold=2.0, minimum_size=20, initial=half, max_iterations=1, save_to=str(tmp_path))
+    assert {r.cluster: r["count"] for r in first.groupBy("cluster").count().collect()} == {"-1": 50, "1": 50}
+    assert checks["1"].is_uniform and checks["-1"].cluster_size == 50
+    steps = tmp_path / "reclustering"
+    assert {p.name for p in steps.iterdir()} == {"uniform_cluster_01_a", "partial_clusterization_1", "all_check_results_1"}
+    rest = kinds.where("cluster = '1'")
+    again, _, checks = pipelines.uniform_clusters(ds, gdi_threshold=2.0, minimum_size=20, initial=rest, initial_iteration=2, resume=True, save_to=str(tmp_path))
+    both = again.withColumnRenamed("cluster", "found").join(kinds, "cell").groupBy("found", "cluster").count().collect()
+    assert len(both) == 2 and all(r["count"] == 50 for r in both) and all(c.is_uniform for c in checks.values())
+    saved = spark.read.csv(str(tmp_path / "split_clusterization"), header=True)
+    assert saved.count() == 100 and spark.read.csv(str(tmp_path / "split_check_results"), header=True).count() == 2
+
+
+def test_merge_goes_on_from_its_dumps(spark, tmp_path, monkeypatch):
+    from tessera.plans import pipelines
+    from tessera.queries.more import planted
+
+    ds, halves = planted(spark, "/root/testdata/sf0.01")
+    calls = []
+    real = pipelines.check_uniformity
+    monkeypatch.setattr(pipelines, "check_uniformity", lambda *a, **o: calls.append(a[3]) or real(*a, **o))
+    checkers = [U.SimpleCheck(U.GDICheck(gdi_threshold=t)) for t in (1.01, 2.0)]
+    merged, _, tested = pipelines.merge_uniform_clusters(ds, halves, checkers, save_to=str(tmp_path))
+    assert merged.join(halves, "cell").select(merged.cluster, F.substring(halves.cluster, 1, 1)).distinct().count() == 2
+    assert len(calls) == len(set(calls)), "a known pair is judged from its quantile"
+    clusters, known = pipelines.resumed_merge(ds, str(tmp_path), 1)
+    assert clusters.exceptAll(halves).count() == 0 and set(known) <= set(tested)
+    calls.clear()
+    again, _, _ = pipelines.merge_uniform_clusters(ds, clusters, checkers, previous=known, initial_iteration=2)
+    assert again.exceptAll(merged).count() == 0 and not set(calls) & set(known)
+
+
+def test_reused_checks(spark):
+    gdi = spark.createDataFrame([(1.0 + i / 1000,) for i in range(500)], "gdi double")
+    for kind in (U.SimpleCheck, U.AdvancedCheck):
+        done = kind().check(gdi, 70)
+        for shift in (0.0, 0.05, 0.2):
+            assert kind().shifted(shift).reusing(done).is_uniform == kind().shifted(shift).check(gdi, 70).is_uniform
+        assert kind().reusing(kind()) is None
+    other = U.SimpleCheck(U.GDICheck(gdi_threshold=1.2, max_ratio_beyond=0.3))
+    assert other.reusing(U.SimpleCheck().check(gdi, 70)) is None
