@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,10 +24,17 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; a temporary one only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    """Written to the session's checkpoint folder, ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder is taken, but only on one machine: the executors of a
+    cluster do not see each other's.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
@@ -161,6 +168,3 @@ def _put(base: DataFrame, table: DataFrame, key: str) -> DataFrame:
     new = [c for c in table.columns if c != key]
     return base.drop(*new).join(table, key, "left")
 
-
-def lit_double(x: float) -> Column:
-    return F.lit(float(x))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.dataset import CountDataset
+from tessera.dataset import CountDataset, maybe_broadcast
 
 CLUSTER, CONDITION, NO_CONDITION, UNCLUSTERED = "CL_", "COND_", "NoCond", "-1"
 
@@ -83,14 +83,48 @@ def to_lists(clusters: DataFrame) -> DataFrame:
 
 
 def from_lists(lists: DataFrame, cells: DataFrame | None = None, throw_on_overlap: bool = True) -> DataFrame:
-    """``cluster, elements`` -> ``cell, cluster``; cells in no list get -1, the last list wins an overlap."""
-    rows = lists.select("cluster", F.explode("elements").alias("cell"))
+    """``cluster, elements`` -> ``cell, cluster``; cells in no list get -1, the last list wins an overlap.
+
+    The order of the lists is that of a column ``pos`` if there is one, else of the clusters' names.
+    """
+    order = F.col("pos") if "pos" in lists.columns else F.col("cluster")
+    rows = lists.select("cluster", order.alias("_order"), F.explode("elements").alias("cell"))
     if throw_on_overlap and rows.groupBy("cell").count().where("count > 1").limit(1).count():
         raise ValueError("clusters overlap")
-    one = rows.groupBy("cell").agg(F.max("cluster").alias("cluster"))
+    one = rows.groupBy("cell").agg(F.max_by("cluster", "_order").alias("cluster"))
     return one if cells is None else cells.select("cell").join(one, "cell", "left").select("cell", F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster"))
 
 
+def as_clusterization(labels: DataFrame | dict, ds: CountDataset | None = None, spark=None) -> DataFrame:
+    """``cell, cluster`` (strings) from a dict or from any two columns, in this order.
+
+    With a dataset the cells must be exactly its own.
+    """
+    if isinstance(labels, dict):
+        if not labels:
+            raise ValueError("no labels given")
+        session = spark or (ds.spark if ds else None)
+        labels = session.createDataFrame([(c, str(v)) for c, v in labels.items()], ["cell", "cluster"])
+    if len(labels.columns) != 2:
+        raise ValueError("labels have two columns: names and clusters")
+    out = labels.toDF("cell", "cluster").withColumn("cluster", F.col("cluster").cast("string"))
+    if ds is not None:
+        n, distinct = out.agg(F.count(F.lit(1)), F.countDistinct("cell")).first()
+        if not n == distinct == ds.n_cells or out.join(ds.cells, "cell", "left_anti").limit(1).count():
+            raise ValueError("labels must cover exactly the cells of the dataset")
+    return out
+
+
+def name_and_labels(ds: CountDataset, name: str = "", labels: DataFrame | dict | None = None, prefix: str = CLUSTER) -> tuple[str, DataFrame]:
+    """(name, labels): those given, checked, or else the dataset's own of that name, the last by default."""
+    if labels is None:
+        if prefix == CONDITION and not name and not label_names(ds, prefix):
+            return NO_CONDITION, get_labels(ds, name, prefix)
+        return label_name(ds, name, prefix), get_labels(ds, name, prefix)
+    made = as_clusterization(labels, ds)
+    return name or "DummyName", made if prefix == CLUSTER else made.withColumnRenamed("cluster", "condition")
+
+
 def grouped_positions(clusters: DataFrame, cells: DataFrame) -> DataFrame:
     """``cell, cluster, place``: cells in order of their clusters, those without at the end."""
     rows = cells.select("cell", "pos").join(clusters, "cell", "left").withColumn("cluster", F.coalesce("cluster", F.lit(UNCLUSTERED)))
@@ -136,4 +170,4 @@ def renumber(clusters: DataFrame) -> DataFrame:
     n = real.count()
     width = max(1, len(str(n)))
     names = real.select("cluster", F.lpad(F.row_number().over(W.orderBy("cluster")).cast("string"), width, "0").alias("new"))
-    return clusters.join(F.broadcast(names), "cluster", "left").select("cell", F.coalesce("new", "cluster").alias("cluster"))
+    return clusters.join(maybe_broadcast(names, n), "cluster", "left").select("cell", F.coalesce("new", "cluster").alias("cluster"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.dataset import CountDataset, maybe_broadcast
@@ -52,6 +51,11 @@ def log_normalised(ds: CountDataset) -> DataFrame:
     return ds.counts.join(size, "cell").select("gene", "cell", (F.log1p(F.col("n") * 1e4 / F.col("size")) / F.log(F.lit(10.0))).alias("value"))
 
 
+def normalised(ds: CountDataset, log: bool = False) -> DataFrame:
+    """Counts over the efficiency of their cell, or their logarithm."""
+    return log_normalised(ds) if log else nu_normalised(ds)
+
+
 def dense_grid(ds: CountDataset, genes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """``gene, cell, lambda, dispersion, nu, n, z`` of every pair: genes by cells rows by definition."""
     g = (genes if genes is not None else ds.genes).select("gene", "lambda", "dispersion")
@@ -147,6 +151,26 @@ def flag_fully_expressed(ds: CountDataset, cells_threshold: float = 0.99, genes_
     return ds.with_gene_columns(g).with_cell_columns(c)
 
 
+def not_fully_expressed(ds: CountDataset) -> DataFrame:
+    """``gene, flag``: true unless the gene is flagged as fully expressed; without flags all are true."""
+    return ds.genes.select("gene", (~F.col("fe_genes") if "fe_genes" in ds.genes.columns else F.lit(True)).alias("flag"))
+
+
+def not_fully_expressing(ds: CountDataset) -> DataFrame:
+    """``cell, flag``: true unless the cell is flagged as fully expressing."""
+    return ds.cells.select("cell", (~F.col("fe_cells") if "fe_cells" in ds.cells.columns else F.lit(True)).alias("flag"))
+
+
+def fully_expressed(ds: CountDataset) -> DataFrame:
+    """``gene`` of the flagged genes."""
+    return not_fully_expressed(ds).where(~F.col("flag")).select("gene")
+
+
+def fully_expressing(ds: CountDataset) -> DataFrame:
+    """``cell`` of the flagged cells."""
+    return not_fully_expressing(ds).where(~F.col("flag")).select("cell")
+
+
 def _round_even(x: float) -> int:
     return int(round(x))
 
@@ -173,6 +197,3 @@ def names_subset(table: DataFrame, key: str, wanted: list | None = None) -> Data
         raise ValueError(f"unknown {key}")
     return found.orderBy("pos")
 
-
-def top_by(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)

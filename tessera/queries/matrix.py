@@ -469,14 +469,24 @@ for _name, _sql in ADJUSTED.items():
     )(_adjusted)
 
 
+HOMMEL = """hr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p, gene) AS i, count(*) OVER (PARTITION BY cluster) AS k FROM dp),
+hs AS (SELECT a.cluster, a.i AS m, min(a.i * b.p / (b.i - (b.k - a.i))) AS s FROM hr a JOIN hr b ON a.cluster = b.cluster AND b.i > b.k - a.i GROUP BY 1, 2),
+ht AS (SELECT cluster, m, max(s) OVER (PARTITION BY cluster ORDER BY m DESC) AS t FROM hs),
+hm AS (SELECT hr.cluster, gene, any_value(p) AS p, count(*) FILTER (t > m * p) AS most FROM hr JOIN ht USING (cluster) GROUP BY 1, 2),
+"""
+
+
+@query(
+    "dea_p_hommel",
+    """SELECT gene, hm.cluster, round(least(1, CASE WHEN most = 0 THEN first.t ELSE greatest(coalesce(next.t, 0), most * p) END), 6) AS p_value
+    FROM hm LEFT JOIN ht next ON next.cluster = hm.cluster AND next.m = most + 1 JOIN ht first ON first.cluster = hm.cluster AND first.m = 1""",
+    DEA + HOMMEL,
+)
 def dea_p_hommel(spark, sf):
     ds = fitted(spark, sf)
     return C.dea_p_values(C.dea(ds, types(ds, sf)), ds.n_cells, ds.n_genes, "hommel").select("gene", "cluster", r6("p_value").alias("p_value"))
 
 
-QUERIES["dea_p_hommel"] = dea_p_hommel
-
-
 @query("cluster_gene_table", "SELECT gene, n_in, round(ni, 4) AS ni, round(no, 4) AS no, round(yi, 4) AS yi, round(yo, 4) AS yo, o_yi FROM dt WHERE gene = 3 AND cluster = (SELECT min(cluster) FROM types)", DEA)
 def cluster_gene_table(spark, sf):
     ds = fitted(spark, sf)
