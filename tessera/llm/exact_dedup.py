@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fresh, join_counted, table
+from tessera.llm.common import checkpoint, join_counted, table
 
 #: Bits of the bitmap: 16 a row, but no more than 2**27 (16 MB as words).
 BITS_PER_ROW, LEAST_BITS, MAX_BITS = 16, 1 << 16, 1 << 27
@@ -27,23 +27,28 @@ def _slots(key):
     return [F.conv(F.substring(key, at, 12), 16, 10).cast("long") for at in (1, 21)]
 
 
-def possibly_repeated(digests: DataFrame, key: str = "text_sha256", max_bits: int = MAX_BITS) -> DataFrame:
-    """Adds ``maybe``: false only where no other row has the same key."""
+def marked_slots(digests: DataFrame, key: str = "text_sha256", max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+    """(``word, mask`` of the slots that two rows hit, bits of the bitmap): at most ``max_bits / 64`` rows."""
     n = digests.count()
     bits = LEAST_BITS
     while bits < min(max_bits, BITS_PER_ROW * n):
         bits *= 2
-    slot = [F.pmod(s, F.lit(bits)) for s in _slots(F.col(key))]
-    hits = digests.select(F.explode(F.array_distinct(F.array(*slot))).alias("slot")).groupBy("slot").count()
+    slots = F.array_distinct(F.array(*[F.pmod(s, F.lit(bits)) for s in _slots(F.col(key))]))
+    hits = digests.select(F.explode(slots).alias("slot")).groupBy("slot").count()
     words = (
         hits.where("count > 1")
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask"))
     )
-    out = digests
-    for i, s in enumerate(slot):
+    return words, bits
+
+
+def possibly_repeated(rows: DataFrame, words: DataFrame, bits: int, key: str = "text_sha256") -> DataFrame:
+    """Adds ``maybe``: false only where no other row has the same key. The bitmap is broadcast, the rows stay where they are."""
+    out = rows
+    for i, s in enumerate(_slots(F.col(key))):
         w = words.select(F.col("word").alias(f"_w{i}"), F.col("mask").alias(f"_m{i}"))
-        out = out.withColumn(f"_s{i}", s).join(F.broadcast(w), F.shiftright(F.col(f"_s{i}"), 6) == F.col(f"_w{i}"), "left")
+        out = out.withColumn(f"_s{i}", F.pmod(s, F.lit(bits))).join(F.broadcast(w), F.shiftright(F.col(f"_s{i}"), 6) == F.col(f"_w{i}"), "left")
     set_ = [F.coalesce(F.expr(f"(shiftright(_m{i}, cast(_s{i} & 63 as int)) & 1) = 1"), F.lit(False)) for i in range(2)]
     return out.withColumn("maybe", set_[0] & set_[1]).drop(*[f"_{c}{i}" for c in "swm" for i in range(2)])
 
@@ -62,7 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"),
         )
     )
-    tested = possibly_repeated(digests, max_bits=max_bits)
+    tested = possibly_repeated(digests, *marked_slots(digests, max_bits=max_bits))
     alone = tested.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -77,27 +82,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The documents, one row for each distinct text (of the largest id), with all their columns.
 
-    Rows that the filter shows to be alone are never shuffled. The others are reduced by ``max_by``
-    before and after the shuffle, so of repeated rows exactly one is left and a hot text sends one
-    row a task. Null and empty texts are one group.
+    Only digests go to the bitmap; it is then broadcast and tested on the documents themselves, so
+    rows that it shows to be alone are never shuffled. The others are reduced by ``max_by`` before
+    and after the shuffle, so of repeated rows exactly one is left and a hot text sends one row a
+    task. Null and empty texts are one group; columns may have any names.
     """
-    key, packed = fresh(docs, "text_sha256"), fresh(docs, "packed")
-    hashed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     clash = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    flat = hashed.select(*[F.col(f"`{c}`").alias(a) for c, a in clash.items()], F.col(f"`{key}`").alias("text_sha256"))
-    digests = checkpoint(flat.select("text_sha256"))
-    marked = possibly_repeated(digests, max_bits=max_bits).where("maybe").select("text_sha256").distinct()
-    # the marked digests are a subset of the input's, so this join picks its own strategy by size
-    marked = checkpoint(marked)
-    alone = flat.join(marked, "text_sha256", "left_anti").select(*clash.values())
+    hashed = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256")
+    flat = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in clash.items()], hashed)
+    words, bits = marked_slots(checkpoint(flat.select("text_sha256")), max_bits=max_bits)
+    tested = possibly_repeated(flat, checkpoint(words), bits)
     order = F.struct(F.col(clash[id_col]), F.xxhash64(*clash.values()))
     some = (
-        flat.join(marked, "text_sha256", "left_semi")
+        tested.where("maybe")
         .groupBy("text_sha256")
-        .agg(F.max_by(F.struct(*clash.values()), order).alias(packed))
-        .select(F.col(f"{packed}.*"))
+        .agg(F.max_by(F.struct(*clash.values()), order).alias("packed"))
+        .select("packed.*")
     )
-    return alone.unionByName(some).select(*[F.col(a).alias(c) for c, a in clash.items()])
+    return tested.where(~F.col("maybe")).select(*clash.values()).unionByName(some).select(*[F.col(a).alias(c) for c, a in clash.items()])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
