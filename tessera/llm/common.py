@@ -29,13 +29,17 @@ def fresh(df: DataFrame, stem: str) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, and only on one
+    machine, a temporary folder is used. Its files go with ``df`` where the session is set to clean
+    checkpoints (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, join_counted
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest node around it."""
+def _large(edges: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of a node is linked to the smallest node around it. A node of many edges is joined by broadcast."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    return join_counted(both.where("b > a"), least, "a", 2 * n, size="degree").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = checkpoint(down), None
+    edges = now.count()
     while True:
-        stars = _small(_large(now).distinct()).distinct()
+        stars = _small(_large(now, edges).distinct()).distinct()
         now = checkpoint(stars)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
             break
-        mark = (seen["n"], seen["h"])
+        mark, edges = (seen["n"], seen["h"]), seen["n"]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
