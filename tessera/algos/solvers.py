@@ -54,63 +54,105 @@ def dispersion_newton(lam, zeros, nu, weight=None, threshold=1e-3, max_iteration
     return out
 
 
-def _bisect(count, target, start, move, threshold, max_iterations):
-    """Bracket the root by ``move``, then halve. ``count`` falls or rises with x by its caller's sign."""
-    x = start
-    diff = count(x) - target
-    if abs(diff) <= threshold:
-        return x
-    sign = -1.0 if diff < 0 else 1.0
-    low = x
-    for _ in range(max_iterations):
-        x = move(x, sign)
-        diff = count(x) - target
-        if abs(diff) <= threshold:
-            return x
-        if sign * diff < 0:
-            break
-        low = x
-    else:
-        raise ArithmeticError("no bracket")
-    high = x
-    for _ in range(max_iterations):
-        x = (low + high) / 2
-        diff = count(x) - target
-        if abs(diff) <= threshold:
-            return x
-        if sign * diff > 0:
-            low = x
-        else:
-            high = x
-    raise ArithmeticError("no convergence")
+def _parts(lanes: np.ndarray, n: int) -> list[np.ndarray]:
+    """Lanes in parts whose tables of ``n`` columns stay within 4 million values."""
+    size = max(1, 4_000_000 // max(1, n))
+    return [lanes[at : at + size] for at in range(0, len(lanes), size)]
+
+
+def _bisect(count, x: np.ndarray, target: np.ndarray, move, threshold: float, max_iterations: int) -> np.ndarray:
+    """Where the falling or rising ``count(x, lanes)`` meets the targets: steps away from ``x``, then halving, all lanes at once."""
+    x, lanes = np.array(x, float), np.arange(len(x))
+    diff = count(x, lanes) - target
+    lanes = lanes[np.abs(diff) > threshold]
+    sign, low, high = np.where(diff < 0, -1.0, 1.0), x.copy(), np.full(len(x), np.nan)
+    for stage in ("bracket", "convergence"):
+        open_ = lanes
+        for _ in range(max_iterations):
+            if not len(open_):
+                break
+            x[open_] = move(x[open_], sign[open_]) if stage == "bracket" else (low[open_] + high[open_]) / 2
+            d = count(x[open_], open_) - target[open_]
+            met, over = np.abs(d) <= threshold, sign[open_] * d < 0
+            lanes = np.setdiff1d(lanes, open_[met], assume_unique=True)
+            high[open_[over]] = x[open_[over]]
+            low[open_[~over]] = x[open_[~over]]
+            open_ = open_[~met & ~over] if stage == "bracket" else open_[~met]
+        if len(open_):
+            raise ArithmeticError(f"no {stage}")
+    return x
 
 
 def dispersion_bisection(lam, zeros, nu, weight=None, threshold=1e-3, max_iterations=100) -> np.ndarray:
     """As ``dispersion_newton``, by doubling steps from 0 and bisection."""
     nu = np.asarray(nu, float)
     weight = np.ones_like(nu) if weight is None else np.asarray(weight, float)
-    out = []
-    for g, z in zip(np.asarray(lam, float), np.asarray(zeros, float), strict=True):
-        if z == 0:
-            out.append(-np.inf)
-        elif z >= weight.sum():
-            out.append(1.0)
-        else:
-            step = lambda a, sign: -sign if a == 0 else 2 * a
-            out.append(_bisect(lambda a, g=g: (weight * zero_probability(a, g * nu)).sum(), z, 0.0, step, threshold, max_iterations))
-    return np.array(out)
+    lam, zeros = np.asarray(lam, float), np.asarray(zeros, float)
+    out = np.where(zeros == 0, -np.inf, 1.0)
+    lanes = np.flatnonzero((zeros > 0) & (zeros < weight.sum()))
+    for some in _parts(lanes, len(nu)):
+        rate = lam[some, None] * nu
+        count = lambda a, k, rate=rate: zero_probability(a[:, None], rate[k]) @ weight
+        step = lambda a, sign: np.where(a == 0, -sign, 2 * a)
+        out[some] = _bisect(count, np.zeros(len(some)), zeros[some], step, threshold, max_iterations)
+    return out
 
 
 def nu_bisection(zeros, lam, dispersion, guess, threshold=1e-3, max_iterations=100) -> np.ndarray:
     """Efficiency of each cell so that its expected zero genes meet the observed; no zero gives inf."""
     lam, dispersion = np.asarray(lam, float), np.asarray(dispersion, float)
-    out = []
-    for z, x in zip(np.asarray(zeros, float), np.asarray(guess, float), strict=True):
-        if x <= 0:
-            raise ValueError("the first guess must be positive")
-        if z == 0:
-            out.append(np.inf)
-        else:
-            factor = lambda nu, sign: nu * 2**sign
-            out.append(_bisect(lambda nu: zero_probability(dispersion, lam * nu).sum(), z, x, factor, threshold, max_iterations))
-    return np.array(out)
+    zeros, guess = np.asarray(zeros, float), np.asarray(guess, float)
+    if (guess <= 0).any():
+        raise ValueError("the first guess must be positive")
+    out, lanes = np.full(len(zeros), np.inf), np.flatnonzero(zeros > 0)
+    for some in _parts(lanes, len(lam)):
+        count = lambda nu, k: zero_probability(dispersion, nu[:, None] * lam).sum(1)
+        out[some] = _bisect(count, guess[some], zeros[some], lambda nu, sign: nu * 2**sign, threshold, max_iterations)
+    return out
+
+
+def _zeros_and_slopes(a: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """p0, and its derivatives by the dispersion and by the logarithm of mu."""
+    p, a = zero_probability(a[:, None], mu), a[:, None]
+    small = a < SMALL_DISPERSION
+    with np.errstate(all="ignore"):
+        ratio = mu / (1 + a * mu)
+        by_a = np.where(small, mu * p, p * (np.log1p(a * mu) / a - ratio) / a)
+        by_mu = np.where(small, (a - 1) * mu * p, -ratio * p)
+    return p, by_a, by_mu
+
+
+def fit_zeros(lam, zero_genes, zero_cells, nu, threshold=1e-3, max_iterations=50, average_to_one=True) -> tuple[np.ndarray, np.ndarray]:
+    """(dispersions, efficiencies) whose expected zeros fit those of genes and cells in the mean square."""
+    a, log_nu = np.zeros(len(lam)), np.log(np.asarray(nu, float))
+    n = len(a) + len(log_nu) + 1
+
+    def look(a, log_nu):
+        p, by_a, by_mu = _zeros_and_slopes(a, lam[:, None] * np.exp(log_nu))
+        by_gene, by_cell = p.sum(1) - zero_genes, p.sum(0) - zero_cells
+        mean = np.exp(log_nu).mean() - 1 if average_to_one else 0.0
+        return (by_gene, by_cell, mean, by_a, by_mu), float(np.sqrt(((by_gene**2).sum() + (by_cell**2).sum() + mean**2) / n))
+
+    found, error = look(a, log_nu)
+    for _ in range(max_iterations):
+        stuck = True
+        for dispersions in (True, False):
+            by_gene, by_cell, mean, by_a, by_mu = found
+            if error <= threshold:
+                return a, np.exp(log_nu)
+            if dispersions:  # each gene by its own equation, then each cell
+                step = np.clip(-by_gene / (by_a.sum(1) + 1e-9), -1, 1)
+            else:
+                step = np.clip(-by_cell / (by_mu.sum(0) - 1e-9), -0.5, 0.5)
+                step -= np.log(np.exp(log_nu + step).mean()) if average_to_one else 0.0
+            rate = 1.0
+            while rate > 1e-3:
+                now = (a + rate * step, log_nu) if dispersions else (a, log_nu + rate * step)
+                after, new = look(*now)
+                if new < error:
+                    (a, log_nu), found, error, stuck = now, after, new, False
+                    break
+                rate /= 2
+        if stuck:
+            break
+    return a, np.exp(log_nu)
