@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.dataset import CountDataset
+from tessera.dataset import CountDataset, checkpoint
 from tessera.functions.special import chi_square_tail, log_neg_log
 from tessera.operators.pairs import coex, get_coex, p_values, statistic, symmetric
 from tessera.operators.raw import data_matrix, expressing_cells, nu_normalised, probabilities
@@ -105,6 +105,10 @@ def variance_after_trend(ds: CountDataset, span: float = 0.3) -> DataFrame:
     return table.join(seen, "gene").select("gene", "pos", ((F.col("s") + zero) / max(ds.n_cells - 1, 1)).alias("score"))
 
 
+#: Genes whose matrix by genes the driver holds (3 GB with its work space).
+MOST_GENES = 10_000
+
+
 def matrix_of(rows: DataFrame, row: str, column: str, value: str, row_names: list, column_names: list) -> np.ndarray:
     """A dense matrix on the driver, for algorithms that need one; sizes are the caller's choice."""
     pdf = rows.select(row, column, value).toPandas()
@@ -116,13 +120,18 @@ def matrix_of(rows: DataFrame, row: str, column: str, value: str, row_names: lis
     return out
 
 
-def reduced_matrix(ds: CountDataset, use_coex: bool = False, method: str = "", components: int = 25, genes: str | list = "", k: int = 2000) -> DataFrame:
+def reduced_matrix(ds: CountDataset, use_coex: bool = False, method: str = "", components: int = 25, genes: str | list = "", k: int = 2000, scaled: bool = True) -> DataFrame:
     """``cell, values``: cells in few dimensions, by eigenvectors of COEX or by principal components.
 
-    The Gram matrix of the genes is summed in Spark; only a matrix of genes by genes is on the driver.
+    The Gram matrix of the genes is summed in Spark; only a matrix of genes by genes is on the driver,
+    of ``MOST_GENES`` at most. Principal components are those of the correlations, or of the
+    covariances if not ``scaled``.
     """
-    names = [r["gene"] for r in (ds.genes if use_coex else selected_genes(ds, genes, k)).orderBy("pos").select("gene").collect()]
-    values = data_matrix(ds, method).where(F.col("gene").isin(names)) if len(names) <= 5000 else data_matrix(ds, method)
+    wanted = ds.genes if use_coex or genes == "all" else selected_genes(ds, genes, k)
+    if (n := wanted.count()) > MOST_GENES:
+        raise ValueError(f"{n} genes: select {MOST_GENES} of them at most")
+    names = [r["gene"] for r in wanted.orderBy("pos").select("gene").collect()]
+    values = data_matrix(ds, method).join(F.broadcast(wanted.select("gene")), "gene", "left_semi")
     if use_coex:
         full = symmetric(ds.gene_coex if ds.gene_coex is not None else coex(ds), "coex")
         lam, vec = np.linalg.eigh(matrix_of(full, "x1", "x2", "coex", names, names))
@@ -134,7 +143,7 @@ def reduced_matrix(ds: CountDataset, use_coex: bool = False, method: str = "", c
         sums = {r["gene"]: r["s"] for r in values.groupBy("gene").agg(F.sum("value").alias("s")).collect()}
         shift = np.array([sums.get(g, 0.0) for g in names]) / ds.n_cells
         cov = (gram - ds.n_cells * np.outer(shift, shift)) / max(ds.n_cells - 1, 1)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-30))
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-30)) if scaled else np.ones(len(names))
         lam, vec = np.linalg.eigh(cov / np.outer(scale, scale))
         basis = vec[:, np.argsort(-lam)[:components]]
     weights = basis / scale[:, None]
@@ -183,8 +192,9 @@ def genes_clusters(ds: CountDataset, groups: dict[str, list], k: int = 25, cuts:
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     merges = linkage(1 - unit @ unit.T, method)
     labels = cut_tree(merges, len(x), min(cuts, len(x)))
-    ranks = markers_near(ds, [m for m in markers if m in set(r["gene"] for r in ds.genes.where(F.col("gene").isin(markers)).collect())], 10**9)
-    of = {(r["gene"], r["marker"]): r["rank"] for r in ranks.where(F.col("gene").isin(list(pdf.index))).collect()}
+    known = [r["gene"] for r in ds.genes.where(F.col("gene").isin(markers)).select("gene").collect()]
+    ranks = markers_near(ds, known, ds.n_genes).join(F.broadcast(space.select(F.col("x1").alias("gene")).distinct()), "gene", "left_semi")
+    of = {(r["gene"], r["marker"]): r["rank"] for r in ranks.select("gene", "marker", "rank").collect()}
     rows = []
     for i, g in enumerate(pdf.index):
         total = {}
@@ -200,3 +210,34 @@ def genes_clusters(ds: CountDataset, groups: dict[str, list], k: int = 25, cuts:
         nearest = [n for n, v in total.items() if v == best]
         rows.append((g, int(labels[i]), nearest[0] if len(nearest) == 1 and best < 100000 else "none", [float(v) for v in pc[i]]))
     return ds.spark.createDataFrame(rows, ["gene", "cluster", "group", "pc"])
+
+
+#: Fixed value: the colour of what belongs to no group.
+NO_COLOUR = "#BBBBBB"
+
+
+def establish_genes_clusters(ds: CountDataset, groups: dict[str, list], k: int = 25, cuts: int = 6, method: str = "ward.D2") -> dict[str, DataFrame]:
+    """``gcs`` (x1, x2, gcs), ``scree`` (component, share) and ``genes``: the whole table of the marker space.
+
+    ``genes`` has pc1 to pc10, highlight (the group that a gene is nearest to), hclust, sec_markers,
+    colors, col_branches and group_labels: a branch takes the colour and the name of a group whose
+    marker it holds.
+    """
+    from tessera.operators.plotdata import colours, scree
+
+    space = checkpoint(genes_coex_space(ds, sorted({g for v in groups.values() for g in v}), k))
+    rows = genes_clusters(ds, groups, k, cuts, method).toPandas()
+    secondary = {r["x2"] for r in space.select("x2").distinct().collect()}
+    paint = dict(zip(groups, colours(len(groups)), strict=True))
+    pc = np.array(rows.pop("pc").tolist())
+    pc = np.c_[pc, np.zeros((len(pc), max(0, 10 - pc.shape[1])))]
+    holds = {c: [g for g, own in groups.items() if set(own) & set(part["gene"])] for c, part in rows.groupby("cluster")}
+    out = []
+    for i, r in enumerate(rows.itertuples()):
+        branch = holds[r.cluster][-1] if holds[r.cluster] else None
+        note = "not_marked" if r.group == "none" else f"Genes related to {r.group}"
+        colour = paint.get(r.group, NO_COLOUR)
+        out.append((r.gene, *map(float, pc[i]), note, int(r.cluster), float(r.gene in secondary), colour, paint.get(branch, NO_COLOUR), branch or str(r.cluster)))
+    names = ["gene", *(f"pc{i}" for i in range(1, 11)), "highlight", "hclust", "sec_markers", "colors", "col_branches", "group_labels"]
+    sd = ds.spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(pc.std(0, ddof=1) if len(pc) > 1 else np.zeros(10))], "component int, sd double")
+    return {"gcs": space, "scree": scree(sd), "genes": ds.spark.createDataFrame(out, names)}

@@ -756,3 +756,24 @@ def cluster_summary_plot(spark, sf):
 def markers_heatmap(spark, sf):
     ds = fitted(spark, sf)
     return V.markers_heatmap(ds, groups(spark), types(ds, sf)).withColumn("dea", r6("dea")).withColumn("adj_p_value", r6("adj_p_value"))
+
+
+@query(
+    "genes_blocks",
+    "SELECT r.x2 AS row_marker, b.x1, c.x2 AS column_marker, b.x2, round(b.coex, 6) + 0 AS coex FROM both_ b JOIN near r ON r.x1 = b.x1 JOIN near c ON c.x1 = b.x2",
+    PAIRS + PV + "near AS (SELECT x1, x2 FROM pv WHERE p < 0.2 AND coex > 0 AND x1 <> x2),\n",
+)
+def genes_blocks(spark, sf):
+    return V.genes_blocks(fitted(spark, sf), GENES, limit=0.2)[0].withColumn("coex", r6("coex"))
+
+
+@query("distance_canberra", f"SELECT a.cluster AS c1, b.cluster AS c2, round(sum(abs(a.coex - b.coex) / nullif(abs(a.coex) + abs(b.coex), 0)), 4) AS distance FROM dea a JOIN dea b ON a.gene = b.gene AND a.cluster < b.cluster GROUP BY 1, 2", DEA)
+def distance_canberra(spark, sf):
+    ds = fitted(spark, sf)
+    return C.cluster_distances(ds, types(ds, sf), distance="canberra").select("c1", "c2", r6("distance", 4).alias("distance"))
+
+
+@query("distance_correlation", f"SELECT a.cluster AS c1, b.cluster AS c2, round(1 - corr(a.coex, b.coex), 6) AS distance FROM dea a JOIN dea b ON a.gene = b.gene AND a.cluster < b.cluster GROUP BY 1, 2", DEA)
+def distance_correlation(spark, sf):
+    ds = fitted(spark, sf)
+    return C.cluster_distances(ds, types(ds, sf), distance="correlation").select("c1", "c2", r6("distance").alias("distance"))

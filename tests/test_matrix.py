@@ -345,3 +345,70 @@ def test_flags(tiny):
     assert R.not_fully_expressed(flagged).where("flag").count() == 9
     with pytest.raises(ValueError):
         M.set_estimate(tiny, "lambda", flagged.genes.select(F.lit("A").alias("gene"), F.lit(1.0).alias("lambda")))
+
+
+def test_clean_plots_and_umap(spark):
+    """The planted kinds are the two groups; the components are those of a plain decomposition."""
+    from tessera.operators import plotdata as V
+    from tessera.queries.more import planted
+
+    ds, halves = planted(spark, "/root/testdata/sf0.01")
+    kept = halves.where("cluster not in ('1_0')").select("cell")
+    from tessera.plans.pipelines import restricted
+
+    part = M.estimate_nu(restricted(ds, kept))
+    out = V.clean_plots(part)
+    cells = out["cells"].join(halves, "cell").toPandas().sort_values("cell")
+    pcs = cells[[f"pc{i}" for i in range(1, 6)]].to_numpy()
+    pcs = (pcs - pcs.mean(0)) / pcs.std(0, ddof=1)
+    halves_ = cut_tree(linkage(np.sqrt(((pcs[:, None] - pcs[None]) ** 2).sum(2)), "complete"), len(pcs), 2)
+    assert len(set(zip(halves_, cells.groups, strict=True))) == 2 and (cells.groups == "A").sum() >= (cells.groups == "B").sum() > 0
+    genes = out["genes"].orderBy("rank").toPandas()
+    members = set(cells[cells.groups == "B"].cell)
+    value = R.nu_normalised(part).toPandas()
+    mean = value[value.cell.isin(members)].assign(value=lambda v: v.value.round(4)).groupby("gene").value.sum() / len(members)
+    assert genes["mean"].to_numpy() == pytest.approx(mean[genes.gene].to_numpy()) and genes["mean"].is_monotonic_decreasing and len(genes) == (mean > 0).sum()
+    x = R.nu_normalised(part).toPandas().pivot(index="cell", columns="gene", values="value").fillna(0.0).sort_index()
+    x = x.to_numpy() - x.to_numpy().mean(0)
+    want = np.abs((np.linalg.svd(x, full_matrices=False)[0] * np.linalg.svd(x, full_matrices=False)[1])[:, 0])
+    assert np.abs(cells.pc1.to_numpy()) == pytest.approx(want, abs=1e-6)
+    points, reduced, title = V.cells_umap(part, clusters=halves.join(kept, "cell", "left_semi"), components=5, genes="HVG_Scanpy", k=30, epochs=50)
+    assert points.count() == reduced.count() == part.n_cells and "HVG_Scanpy" in title
+    xy = points.toPandas()
+    a, b = (xy[xy.cluster.str[0] == k][["x", "y"]].to_numpy() for k in "01")
+    assert np.linalg.norm(a.mean(0) - b.mean(0)) > max(a.std(), b.std())
+
+
+def test_heatmaps(spark, fit, tmp_path):
+    from tessera.operators import plotdata as V
+
+    full = R.flag_fully_expressed(fit)
+    T.save(full, str(tmp_path / "one"))
+    rows = spark.createDataFrame([("A", "t"), ("C", "t"), ("Z", "u")], "gene string, type string")
+    got = V.heatmap_of_conditions(spark, str(tmp_path), ["one", "none"], ["B", "C"], rows).collect()
+    assert len(got) == 6 and {r.condition for r in got} == {"one"}
+    assert {(r.x1, r.absent, r.fe_genes) for r in got} == {("A", False, True), ("C", False, False), ("Z", True, False)}
+    with pytest.raises(ValueError):
+        V.heatmap_of_conditions(spark, str(tmp_path), ["none"], ["B"], rows)
+    blocks, (low, high) = V.genes_blocks(fit, ["B"], ["C"], 0.05)
+    seen = {(r.row_marker, r.x1) for r in blocks.collect()}
+    assert {m for m, _ in seen} == {"B", "C"} and low <= 0 <= high
+    assert {x for m, x in seen if m == "C"} <= set("CDEGHJ") and {x for m, x in seen if m == "B"} <= set("BFI")
+    clusters = fit.cells.select("cell", F.concat(F.lit("k"), (F.col("pos") % 2).cast("string")).alias("cluster"))
+    groups = spark.createDataFrame([("g", "B"), ("h", "B"), ("h", "C")], "group string, gene string")
+    conditions = fit.cells.select("cell", F.when(F.col("pos") < 10, "L").otherwise("H").alias("condition"))
+    parts = V.markers_heatmap_parts(fit, groups, clusters, {"half": conditions}, cuts=2)
+    assert {r.label for r in parts["cells"].collect()} == {"B", "B_1", "C"} and parts["cells"].count() == 6
+    assert {(r.cluster, r.place) for r in parts["tree"].collect()} == {("k0", 0), ("k1", 1)}
+    assert {r.cell_number for r in parts["sizes"].collect()} == {10} and all(r.L == 0.5 for r in parts["half"].collect())
+    stored = S.store_gdi(fit, S.gdi(fit))
+    a, b = (sorted((r.gene, round(r.gdi, 9), round(r.sum_raw_norm, 9)) for r in V.gdi_plot(d).collect()) for d in (fit, stored))
+    assert a == b
+    assert V.theme("pca")["legend"] == "none" and V.theme("common") == V.theme()
+
+
+def test_genes_clusters_table(fit):
+    out = S.establish_genes_clusters(fit, {"a": ["B"], "b": ["C"]}, k=4, cuts=2)
+    table = out["genes"].toPandas()
+    assert len(table.columns) == 17 and abs(sum(r.share for r in out["scree"].collect()) - 1) < 1e-9
+    assert set(table.highlight) <= {"Genes related to a", "Genes related to b", "not_marked"} and (table.sec_markers == 1).any()
