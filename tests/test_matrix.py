@@ -412,3 +412,21 @@ def test_genes_clusters_table(fit):
     table = out["genes"].toPandas()
     assert len(table.columns) == 17 and abs(sum(r.share for r in out["scree"].collect()) - 1) < 1e-9
     assert set(table.highlight) <= {"Genes related to a", "Genes related to b", "not_marked"} and (table.sec_markers == 1).any()
+
+
+def test_imports_of_coex(spark, fit, tiny, tmp_path):
+    ds = P.calculate_coex(fit.initialize_metadata("G", "m", "c"))
+    made = T.to_single_cell(ds)
+    genes, cells = made["genes"].drop("pos", "lambda", "dispersion"), made["cells"].drop("pos", "nu")
+    again = T.from_single_cell({}, genes, cells, alternatives={"raw": {"counts": made["counts"]}}, genes_coex=made["genes_coex"])
+    assert again.counts.exceptAll(tiny.counts).count() == 0 and P.coex_available(again)
+    assert again.gene_coex.exceptAll(ds.gene_coex).count() == 0
+    with pytest.raises(ValueError):
+        T.from_single_cell({"counts": made["counts"]}, genes.where("row <> 'A'"), cells)
+    with pytest.raises(ValueError):
+        T.from_single_cell({}, genes, cells)
+    old = T.to_legacy(ds)
+    back = T.from_legacy(old["raw"], [], old["a"], old["nu"], old["lambda"], meta=old["meta"], coex=old["coex"])
+    assert P.coex_available(back) and {(r.x1, r.x2): r.coex for r in back.gene_coex.collect()} == {(r.x1, r.x2): r.coex for r in ds.gene_coex.collect()}
+    both = T.union_conditions({"one": tiny, "two": tiny})
+    assert both.columns == ["gene", "cell", "n", "cond"] and both.count() == 2 * tiny.counts.count()
