@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOCK_BYTES, block_count, text_bytes
+from tessera.llm.common import BLOCK_BYTES, block_count, small_batches, text_bytes
 
 #: Text bytes whose keys one bucket gathers on average.
 BUCKET_BYTES = 16_000_000
@@ -28,7 +28,7 @@ def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """
     n = text_bytes(docs, text_col)
     blocks, buckets = block_count(n, 12, BLOCK_BYTES), block_count(n, 12, BUCKET_BYTES)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.select(F.pmod(F.xxhash64(F.lit(6), "doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"), buckets
 
 

@@ -43,6 +43,49 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch where the session has Spark's own default of 64 MB.
+BATCH_BYTES = 8_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends batches of about ``BATCH_BYTES`` to Python workers.
+
+    A batch is held on both sides, several times over while it is built. A session that has set
+    another size than the default keeps it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in ("67108864b", "67108864", "64MB", "64m"):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; a worker is kept from task to task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def trimmed(run):
+    """``run(batches)`` that trims the worker when a task is over."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return out
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one narrow scan, nothing is shuffled but one number a task."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"])

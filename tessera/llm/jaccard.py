@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fresh, join_counted
+from tessera.llm.common import checkpoint, fresh, join_counted, small_batches, trimmed
 from tessera.llm.components import components
 from tessera.llm.simhash import _hashes, dealt_in_parts, link_shards, sorted_groups
 
@@ -168,10 +168,10 @@ def drop_similar(
     or more.
     """
     row = fresh(docs, "row")
-    marked = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash")))
+    marked = small_batches(docs).withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash")))
     kind = marked.schema[row].dataType.simpleString()
     signed = marked.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
-    prints = checkpoint(signed.mapInArrow(_signer(words, bands, rows), f"row {kind}, node long, size int, buckets array<long>, fp binary"))
+    prints = checkpoint(signed.mapInArrow(trimmed(_signer(words, bands, rows)), f"row {kind}, node long, size int, buckets array<long>, fp binary"))
     n = prints.count()
     groups = checkpoint(prints.groupBy("node").agg(F.min("row").alias("least"), F.first("size").alias("size"), F.count(F.lit(1)).alias("group_size")))
     keyed = prints.where(F.size("buckets") > 0).select("node", F.explode("buckets").alias("bucket"))
@@ -183,7 +183,7 @@ def drop_similar(
     large = checkpoint(needed.groupBy("cluster").agg(F.ceil(F.sum("size") / part).cast("int").alias("parts")).where("parts > 1"))
     texts = checkpoint(_texts(marked, row, text_col, needed.drop("size")))
     pairs = dealt_in_parts(texts, "cluster", large).select("cluster", "part", "other", "own", "node", "text")
-    roots = components(checkpoint(pairs.mapInArrow(_verifier(words, similarity), "a long, b long")))
+    roots = components(checkpoint(pairs.mapInArrow(trimmed(_verifier(words, similarity)), "a long, b long")))
     rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("kept"), F.sum("group_size").alias("rows"), F.count(F.lit(1)).alias("nodes")).where("rows > 1")
     several = checkpoint(join_counted(rooted, whole, "root", n, size="nodes").select("node", "group_size", "kept"))

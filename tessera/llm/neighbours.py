@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, table
+from tessera.llm.common import checkpoint, small_batches, table
 
 TREES, RUN, FROM_RUN, DEGREE, REVERSE, FROM_NODE, ROUNDS, SEED = 16, 256, 8, 32, 16, 10, 4, 11
 #: Nodes that a query opens in one step, edges followed from each, nodes that it keeps, and the most steps (None: until it converges).
@@ -42,7 +43,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("vector")
         x = np.asarray(lists.flatten(), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
-        x = x / np.abs(x).max(1, keepdims=True)
+        x = scaled(x)
         x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "unit"])
 
@@ -216,10 +217,15 @@ def search_graph(graph: DataFrame, units: DataFrame, queries: DataFrame, pool: i
     return met.select("v", "u", "sim")
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two above their largest component: exact, and no product of two rows overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1) for c in ("query_vector", "vector"))
+            a, b = (scaled(np.asarray(batch.column(c).flatten(), np.float64).reshape(batch.num_rows, -1)) for c in ("query_vector", "vector"))
             score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
 
@@ -230,9 +236,11 @@ def nearest(rows: DataFrame, query_every: int, id_col: str = "vec_id", vector_co
     Rows with a null id or vector, with a null, NaN or infinite component, or of zeros alone take no
     part, nor do rows of another dimension than most. Equal vectors tie and go by id; rows repeated
     under one id count once. If there are fewer other rows than ``top``, all are returned; a lone
-    query returns no row. Other columns are ignored, an empty table gives an empty result.
+    query returns no row. Other columns are ignored, an empty table gives an empty result. Components
+    may be as large or small as a double: rows are scaled by powers of two, which changes no score.
+    The walk may miss a neighbour; ``nearest_exact`` does not.
     """
-    good = clean_vectors(rows, id_col, vector_col)
+    good = clean_vectors(small_batches(rows), id_col, vector_col)
     sizes = {r["d"]: r["n"] for r in good.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = rows.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -259,6 +267,61 @@ def nearest(rows: DataFrame, query_every: int, id_col: str = "vec_id", vector_co
     return scored.withColumn("rank", order).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_exact(rows: DataFrame, query_every: int, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, block: int = 4096) -> DataFrame:
+    """``nearest`` by comparing every query with every row, in blocks; rows that take no part are the same.
+
+    Queries are dealt to blocks of ``block``, each of which meets all rows in passes over the table:
+    the work grows with their product, the memory with a block. For measuring recall, and where
+    nothing may be missed.
+    """
+    good = clean_vectors(small_batches(rows), id_col, vector_col).dropDuplicates(["vec_id"])
+    sizes = {r["d"]: r["n"] for r in good.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = "query_id long, vec_id long, score double"
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    good = checkpoint(good.where(F.size("vector") == max(sizes, key=lambda d: (sizes[d], d))))
+    asked = checkpoint(good.where(F.col("vec_id") % query_every == 0).withColumn("place", F.monotonically_increasing_id()))
+    n = asked.count()
+    parts = -(-n // block)
+    asked = checkpoint(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(parts, 1)))))
+    found = []
+    for p in range(parts):  # a block is bounded, so it goes with the task
+        own = asked.where(F.col("part") == p).select("vec_id", "vector").toPandas()
+        if len(own):
+            found.append(good.mapInArrow(_against(own["vec_id"].to_numpy(), np.array(own["vector"].tolist()), top), out))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    every = reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], out)
+    return every.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def _against(ids: np.ndarray, vectors: np.ndarray, top: int):
+    """The ``top`` rows of each task for each query of a block."""
+    x = scaled(vectors)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            other, y = batch.column("vec_id").to_numpy(), scaled(np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1))
+            far = np.sqrt(np.einsum("ij,ij->i", y, y))
+            for at in range(0, len(other), 512):
+                own, z = other[at : at + 512], y[at : at + 512]
+                score = np.stack([np.einsum("ij,j->i", x, v) for v in z], 1) / (norm[:, None] * far[at : at + 512])
+                score[ids[:, None] == own[None]] = -np.inf
+                both = (score, np.broadcast_to(own, score.shape)) if best is None else (np.concatenate([best[0], score], 1), np.concatenate([best[1], np.broadcast_to(own, score.shape)], 1))
+                order = np.lexsort((both[1], -both[0]), axis=1)[:, :top]
+                best = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
+        if best is not None:
+            keep = np.isfinite(best[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, keep.sum(1))), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query_id", "vec_id", "score"]
+            )
+
+    return run
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of ``op8``: the queries of ``embeddings`` against all its rows."""
     return nearest(table(spark, sf_dir, "embeddings"), 50)

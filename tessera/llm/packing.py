@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table, trimmed
 
 LENGTH, END_ID, OPEN_BINS = 2048, 0, 4096
 #: A chunk of documents ends at so many bytes of text or rows.
@@ -197,9 +197,9 @@ def pack(
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_packer(str(vocabulary), length, end_id, open_bins), f"doc_id {kind}, {SCHEMA}")
+    return rows.mapInArrow(trimmed(_packer(str(vocabulary), length, end_id, open_bins)), f"doc_id {kind}, {SCHEMA}")
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

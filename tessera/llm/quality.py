@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_of, table
+from tessera.llm.common import fold_of, small_batches, table, trim
 from tessera.llm.learn import Logistic, labelled_sample
 
 DICTIONARY_BYTES, CHUNK, LEVEL, THRESHOLD = 32_768, 1000, 3, 0.3
@@ -88,6 +88,7 @@ def _scorer(dictionaries, model):
             else:
                 found = [of((t.as_py() or "").encode()) for t in texts]
                 yield pa.array(model(np.array(found).reshape(len(texts), -1)), pa.float64())
+        trim()
 
     return score
 
@@ -101,13 +102,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Data
     label).
     """
     score = _scorer(*train(*labelled_sample(docs, labels, "quality", held_out)[:3]))
-    return docs.select(F.col("doc_id"), (fold_of(F.col("doc_id")) == held_out).alias("held_out"), score(F.col("text")).alias("score"))
+    return small_batches(docs).select(F.col("doc_id"), (fold_of(F.col("doc_id")) == held_out).alias("held_out"), score(F.col("text")).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with the columns of ``docs``. Edge cases as in ``score_quality``."""
     score = _scorer(*train(*labelled_sample(docs, labels, "quality")[:3]))
-    return docs.where(score(F.col("text")) >= threshold)
+    return small_batches(docs).where(score(F.col("text")) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

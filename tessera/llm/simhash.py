@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, join_counted, table
+from tessera.llm.common import checkpoint, join_counted, small_batches, table, trimmed
 from tessera.llm.components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -192,7 +192,7 @@ def link_shards(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     """``shard, node, fp`` (long, or little-endian binary) -> links ``a, b`` that connect whatever lies within the radius in a shard."""
     large = checkpoint(keyed.groupBy("shard").count().where(F.col("count") > shard))
     rows = dealt_in_parts(keyed, "shard", large.select("shard", F.ceil(F.col("count") / shard).cast("int").alias("parts")))
-    return rows.select("shard", "part", "other", "own", "node", "fp").mapInArrow(_linker(radius), "a long, b long").distinct()
+    return rows.select("shard", "part", "other", "own", "node", "fp").mapInArrow(trimmed(_linker(radius)), "a long, b long").distinct()
 
 
 def _shards(fp, radius: int, n: int, mean: int):
@@ -239,9 +239,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids are ignored where the smallest id is taken. Other columns are ignored, an empty table gives
     an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = checkpoint(rows.mapInArrow(_printer(words, seed), f"doc_id {kind}, fp long"))
+    prints = checkpoint(rows.mapInArrow(trimmed(_printer(words, seed)), f"doc_id {kind}, fp long"))
     groups = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("group_size")))
     distinct = groups.count()
     roots = components(links(groups.select("fp"), distinct, radius))

@@ -548,3 +548,30 @@ def test_neighbours_inside_a_cluster(spark, noise):
         hits += len(set(np.argsort(far)[:5]) & set(part.vec_id))
     print("recall", hits / 75)
     assert hits >= 0.9 * 75
+
+
+def test_exact_neighbours_and_odd_vectors(spark):
+    """Nulls, repeated ids, huge and tiny components, clashing names; the graph against the exact way."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, [float(v) for v in r], i, "q") for i, r in enumerate(x)]
+    rows += [(500, [1e308] * 8, 0, "q"), (501, [1e308] * 7 + [-1e308], 0, "q"), (550, [1e-308] * 8, 0, None), (0, [float(v) for v in x[0]], 0, "q")]
+    rows += [(600, None, None, None), (650, [None] + [1.0] * 7, 0, ""), (None, [1.0] * 8, 0, ""), (700, [float("inf")] * 8, 0, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long, hash string")
+    want = {(r.query_id, r.rank): r for r in neighbours.nearest_exact(df, 50, block=3).collect()}
+    assert {q for q, _ in want} == {0, 50, 100, 150, 200, 250, 500, 550} and len(want) == 40
+    ids = np.array([*range(300), 500, 501, 550])
+    y = np.concatenate([x, np.ones((3, 8))])
+    y[-2, -1] = -1
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    for q in (0, 50, 100, 150, 200, 250, 500, 550):
+        sims = np.round(y @ y[np.flatnonzero(ids == q)[0]], 12)
+        sims[ids == q] = -9
+        order = np.lexsort((ids, -sims))[:5]
+        assert [want[q, k].vec_id for k in range(1, 6)] == ids[order].tolist()
+        assert [want[q, k].score for k in range(1, 6)] == pytest.approx(sims[order].tolist())
+    got = {(r.query_id, r.rank): r for r in neighbours.nearest(df, 50).collect()}
+    assert got.keys() == want.keys() and all(math.isfinite(r.score) for r in got.values())
+    same = sum(got[k].vec_id == want[k].vec_id for k in want)
+    assert same >= 36 and all(got[k].score == want[k].score for k in want if got[k].vec_id == want[k].vec_id)
+    assert neighbours.nearest_exact(df.limit(0), 50).count() == 0
