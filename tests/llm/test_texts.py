@@ -575,3 +575,30 @@ def test_exact_neighbours_and_odd_vectors(spark):
     same = sum(got[k].vec_id == want[k].vec_id for k in want)
     assert same >= 36 and all(got[k].score == want[k].score for k in want if got[k].vec_id == want[k].vec_id)
     assert neighbours.nearest_exact(df.limit(0), 50).count() == 0
+
+
+def test_pipeline_odd_rows(spark, odd, none, labels, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows, clashing names and an empty table."""
+    import corpus_pipeline as p
+
+    for name, frame in (("documents", odd), ("labels", labels)):
+        frame.write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = odd
+    for name, f in p.STAGES:
+        out = f(spark, docs, str(tmp_path))
+        assert f(spark, none, str(tmp_path)).count() == 0
+        if name != "packing":
+            assert out.columns == odd.columns
+        if name == "quality":  # the labels are too few for the classifier: all scores are the share of label 1
+            assert out.count() == odd.count()
+        if name == "exact_dedup":
+            assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 4, 5, 7, 8]
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 4, 7, 8]
+        if name == "packing":
+            rows = out.toPandas()
+            assert rows.groupby("sequence_id").length.sum().max() <= 2048 and (rows.piece >= 0).all()
+        else:
+            docs = spark.createDataFrame(out.collect(), odd.schema)
+    whole = p.run(spark, str(tmp_path))
+    assert whole.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
