@@ -42,7 +42,7 @@ def dea_tables(ds: CountDataset, clusters: DataFrame) -> DataFrame:
     total = F.sum("ni").over(W.partitionBy("gene"))
     rows = (
         expected.withColumn("no", total - F.col("ni"))
-        .join(F.broadcast(_sizes(clusters)), "cluster")
+        .join(maybe_broadcast(_sizes(clusters), ds.n_cells), "cluster")
         .join(_observed(ds, clusters), ["gene", "cluster"], "left")
         .withColumn("o_yi", F.coalesce("o_yi", F.lit(0)))
     )
@@ -115,7 +115,7 @@ def dea_p_values(scores: DataFrame, n_cells: int, n_genes: int, method: str = "n
 def log_fold_change(ds: CountDataset, clusters: DataFrame, floor: float = 0.05) -> DataFrame:
     """``gene, cluster, lfc``: log10 of the mean inside over the mean outside, both floored."""
     sums = nu_normalised(ds).join(maybe_broadcast(clusters, ds.n_cells), "cell").groupBy("gene", "cluster").agg(F.sum("value").alias("s"))
-    grid = ds.genes.select("gene", "lambda").crossJoin(F.broadcast(_sizes(clusters))).join(sums, ["gene", "cluster"], "left").na.fill(0.0, ["s"])
+    grid = ds.genes.select("gene", "lambda").crossJoin(maybe_broadcast(_sizes(clusters), ds.n_cells)).join(sums, ["gene", "cluster"], "left").na.fill(0.0, ["s"])
     rest = F.sum("s").over(W.partitionBy("gene")) - F.col("s")
     low = F.col("lambda") * floor
     inside, outside = F.col("s") / F.greatest("n_in", F.lit(1)), rest / F.greatest(F.lit(ds.n_cells) - F.col("n_in"), F.lit(1))
@@ -125,7 +125,7 @@ def log_fold_change(ds: CountDataset, clusters: DataFrame, floor: float = 0.05)
 def delta_expression(ds: CountDataset, clusters: DataFrame) -> DataFrame:
     """``gene, cluster, delta``: observed less expected cells with the gene, over the cluster's efficiency."""
     nu = ds.cells.select("cell", "nu").join(clusters, "cell").groupBy("cluster").agg(F.sum("nu").alias("nu"))
-    return dea_tables(ds, clusters).join(F.broadcast(nu), "cluster").select("gene", "cluster", ((F.col("o_yi") - F.col("yi")) / F.col("nu")).alias("delta"))
+    return dea_tables(ds, clusters).join(maybe_broadcast(nu, ds.n_cells), "cluster").select("gene", "cluster", ((F.col("o_yi") - F.col("yi")) / F.col("nu")).alias("delta"))
 
 
 def _profile_distance(rows: DataFrame, method: str) -> DataFrame:
@@ -164,7 +164,7 @@ def cluster_distances(ds: CountDataset, clusters: DataFrame, use_dea: bool = Tru
     if use_dea:
         rows = (scores if scores is not None else dea(ds, clusters)).select("gene", "cluster", F.col("coex").alias("v"))
         return _profile_distance(rows, distance or "cosine")
-    grid = ds.genes.select("gene").crossJoin(F.broadcast(_sizes(clusters))).join(_observed(ds, clusters), ["gene", "cluster"], "left")
+    grid = ds.genes.select("gene").crossJoin(maybe_broadcast(_sizes(clusters), ds.n_cells)).join(_observed(ds, clusters), ["gene", "cluster"], "left")
     mean = F.coalesce(F.col("o_yi"), F.lit(0)) / F.col("n_in")
     return _profile_distance(grid.select("gene", "cluster", F.when(mean == 0, 1e-6).otherwise(mean).alias("v")), distance or "euclidean")
 
@@ -188,7 +188,7 @@ def cluster_markers(ds: CountDataset, clusters: DataFrame, n: int = 10, markers:
 def enrichment(scores: DataFrame, groups: DataFrame) -> DataFrame:
     """``group, cluster, score, n_detected, n_total`` for marker groups ``group, gene``."""
     total = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n_total"))
-    found = F.broadcast(groups).join(scores, "gene")
+    found = groups.join(scores, "gene")
     part = found.groupBy("group", "cluster").agg(F.sum(1 - F.exp(-THETA * F.greatest(F.col("coex"), F.lit(0.0)))).alias("s"), F.count("coex").alias("n_detected"))
     return part.join(total, "group").select("group", "cluster", (F.col("s") / F.col("n_total")).alias("score"), "n_detected", "n_total")
 
@@ -251,4 +251,4 @@ def reorder_clusters(ds: CountDataset, clusters: DataFrame, reverse: bool = Fals
         order = order[::-1]
     change = {names[old]: names[new] for new, old in enumerate(order)}
     table = ds.spark.createDataFrame(list(change.items()), ["cluster", "new"])
-    return clusters.join(F.broadcast(table), "cluster", "left").select("cell", F.coalesce("new", "cluster").alias("cluster")), change
+    return clusters.join(maybe_broadcast(table, len(change)), "cluster", "left").select("cell", F.coalesce("new", "cluster").alias("cluster")), change

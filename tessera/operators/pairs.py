@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tessera.algos.solvers import zero_probability
 from tessera.dataset import DATASET_TAGS, CountDataset, maybe_broadcast
 from tessera.functions.special import chi_square_tail, log_neg_log
-from tessera.operators.model import histogram
+from tessera.operators.model import MOST_VALUES, histogram
 
-BLOCK = 256
+#: Genes of a block, and distinct efficiencies that are multiplied at once.
+BLOCK, SLICE = 256, 16_384
 
 
 def _axis(ds: CountDataset, cells: bool) -> tuple[str, str, DataFrame, int, int]:
@@ -49,7 +50,7 @@ def observed_yy(ds: CountDataset, cells: bool = False, subset: list | None = Non
     right = rows.select(F.col(other).alias("o"), F.col(key).alias("x2"), F.col("pos").alias("p2"))
     chosen = _names(ds, cells, subset)
     if chosen is not None:
-        right = right.join(F.broadcast(chosen.withColumnRenamed(key, "x2")), "x2", "left_semi")
+        right = right.join(maybe_broadcast(chosen.withColumnRenamed(key, "x2"), len(subset)), "x2", "left_semi")
         return left.join(right, "o").groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("yy"))
     return left.join(right, "o").where("p1 <= p2").groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("yy"))
 
@@ -57,18 +58,20 @@ def observed_yy(ds: CountDataset, cells: bool = False, subset: list | None = Non
 def _profiles(ds: CountDataset, cells: bool) -> tuple[DataFrame, str, object]:
     """Rows whose zero probabilities are multiplied, their columns, and the function that makes them."""
     if cells:
-        genes = ds.genes.groupBy("lambda", "dispersion").agg(F.count(F.lit(1)).alias("m")).toPandas()
+        genes = ds.genes.groupBy("lambda", "dispersion").agg(F.count(F.lit(1)).alias("m")).limit(MOST_VALUES + 1).toPandas()
+        if len(genes) > MOST_VALUES:
+            raise ValueError("more distinct genes than one task should hold")
         lam, a, m = (genes[c].to_numpy(float) for c in ("lambda", "dispersion", "m"))
 
-        def profile(part: pd.DataFrame) -> np.ndarray:
-            return zero_probability(a[None], part["nu"].to_numpy(float)[:, None] * lam[None])
+        def profile(part: pd.DataFrame, s: slice) -> np.ndarray:
+            return zero_probability(a[None, s], part["nu"].to_numpy(float)[:, None] * lam[None, s])
 
         return ds.cells.select(F.col("cell").alias("x"), "pos", "nu"), "nu double", (profile, m)
     values = histogram(ds)
     nu, m = values["nu"].to_numpy(float), values["m"].to_numpy(float)
 
-    def profile(part: pd.DataFrame) -> np.ndarray:
-        return zero_probability(part["dispersion"].to_numpy(float)[:, None], part["lambda"].to_numpy(float)[:, None] * nu[None])
+    def profile(part: pd.DataFrame, s: slice) -> np.ndarray:
+        return zero_probability(part["dispersion"].to_numpy(float)[:, None], part["lambda"].to_numpy(float)[:, None] * nu[None, s])
 
     return ds.genes.select(F.col("gene").alias("x"), "pos", "lambda", "dispersion"), "lambda double, dispersion double", (profile, m)
 
@@ -86,7 +89,7 @@ def expected_nn(ds: CountDataset, cells: bool = False, subset: list | None = Non
     if chosen is None:
         pairs = dealt.withColumn("with_", F.explode(ids)).select("*", F.least("own", "with_").alias("b1"), F.greatest("own", "with_").alias("b2"))
     else:
-        right = dealt.join(F.broadcast(chosen.withColumnRenamed(key, "x")), "x", "left_semi").withColumn("side", F.lit(2))
+        right = dealt.join(maybe_broadcast(chosen.withColumnRenamed(key, "x"), len(subset)), "x", "left_semi").withColumn("side", F.lit(2))
         pairs = dealt.withColumn("side", F.lit(1)).unionByName(right).withColumn("b1", F.when(F.col("side") == 1, F.col("own")))
         left, right = pairs.where("side = 1"), pairs.where("side = 2").drop("b1").withColumn("b1", F.explode(ids))
         pairs = left.unionByName(right).withColumn("b2", F.lit(0))
@@ -97,11 +100,17 @@ def expected_nn(ds: CountDataset, cells: bool = False, subset: list | None = Non
             left, right = part[part["own"] == part["b1"].iloc[0]], part[part["own"] == part["b2"].iloc[0]]
         else:
             left, right = part[part["side"] == 1], part[part["side"] == 2]
-        a, b = profile(left), profile(right)
+        nn, n1, n2 = np.zeros((len(left), len(right))), np.zeros(len(left)), np.zeros(len(right))
+        for at in range(0, len(m), SLICE):  # the profiles are multiplied a slice at a time
+            s = slice(at, at + SLICE)
+            a, b = profile(left, s), profile(right, s)
+            nn += (a * m[s]) @ b.T
+            n1 += a @ m[s]
+            n2 += b @ m[s]
         i, j = np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij")
         i, j = i.ravel(), j.ravel()
         out = pd.DataFrame(
-            {"x1": left["x"].to_numpy()[i], "x2": right["x"].to_numpy()[j], "nn": ((a * m) @ b.T)[i, j], "n1": (a @ m)[i], "n2": (b @ m)[j]}
+            {"x1": left["x"].to_numpy()[i], "x2": right["x"].to_numpy()[j], "nn": nn[i, j], "n1": n1[i], "n2": n2[j]}
         )
         if whole:
             p1, p2 = left["pos"].to_numpy()[i], right["pos"].to_numpy()[j]
@@ -122,14 +131,19 @@ def _marginals(ds: CountDataset, cells: bool) -> DataFrame:
 
 def observed_tables(ds: CountDataset, cells: bool = False, subset: list | None = None) -> DataFrame:
     """``x1, x2, nn, ny, yn, yy`` of all pairs: first letter for x1, second for x2."""
-    _, _, _, _, others = _axis(ds, cells)
+    _, _, _, n, others = _axis(ds, cells)
     each = _marginals(ds, cells)
     left = each.select(F.col("x").alias("x1"), F.col("pos").alias("p1"), F.col("y").alias("y1"))
     right = each.select(F.col("x").alias("x2"), F.col("pos").alias("p2"), F.col("y").alias("y2"))
     chosen = _names(ds, cells, subset)
     if chosen is not None:
-        right = right.join(F.broadcast(chosen.toDF("x2")), "x2", "left_semi")
-    grid = left.crossJoin(right) if chosen is not None else left.join(right, F.col("p1") <= F.col("p2"))
+        right = right.join(maybe_broadcast(chosen.toDF("x2"), len(subset)), "x2", "left_semi")
+    if chosen is not None:
+        grid = left.crossJoin(right)
+    else:  # by pairs of blocks, so that it is a join on a key
+        last = F.floor(F.lit(n - 1) / BLOCK)
+        left = left.withColumn("block", F.explode(F.sequence(F.floor(F.col("p1") / BLOCK), last)))
+        grid = left.join(right.withColumn("block", F.floor(F.col("p2") / BLOCK)), "block").where("p1 <= p2")
     both = grid.join(observed_yy(ds, cells, subset), ["x1", "x2"], "left").withColumn("yy", F.coalesce("yy", F.lit(0)))
     yn, ny = F.col("y1") - F.col("yy"), F.col("y2") - F.col("yy")
     return both.select("x1", "x2", (F.lit(others) - F.col("yy") - yn - ny).alias("nn"), ny.alias("ny"), yn.alias("yn"), "yy")
@@ -144,7 +158,7 @@ def expected_tables(ds: CountDataset, cells: bool = False, subset: list | None =
 
 def both_tables(ds: CountDataset, cells: bool = False, subset: list | None = None) -> DataFrame:
     """Expected (e_*) and observed (o_*) tables of all pairs, side by side."""
-    _, _, _, _, others = _axis(ds, cells)
+    _, _, _, n, others = _axis(ds, cells)
     each = _marginals(ds, cells)
     e = expected_tables(ds, cells, subset).select("x1", "x2", *[F.col(c).alias(f"e_{c}") for c in ("nn", "ny", "yn", "yy")])
     joined = (

@@ -31,7 +31,7 @@ def _with_quartiles(rows: DataFrame, value: str) -> DataFrame:
     w = W.partitionBy("sample")
     ranks = F.row_number().over(w.orderBy(value, "pos"))
     quartiles = rows.groupBy("sample").agg(*[F.percentile(value, q).alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
-    return rows.select("cell", "sample", value, ranks.alias("rank")).join(F.broadcast(quartiles), "sample")
+    return rows.select("cell", "sample", value, ranks.alias("rank")).join(quartiles, "sample")
 
 
 def cell_size_plot(ds: CountDataset, conditions: DataFrame | None = None) -> DataFrame:
@@ -173,7 +173,7 @@ def heatmap(ds: CountDataset, columns: list, rows: DataFrame, limit: float = 0.0
     With ``flags`` a column ``fe_genes`` says whether one of the two is fully expressed.
     """
     both = coex(ds, subset=columns).join(p_values(ds, subset=columns), ["x1", "x2"])
-    wanted = rows.crossJoin(F.broadcast(ds.genes.where(F.col("gene").isin(list(columns))).select(F.col("gene").alias("x2"))))
+    wanted = rows.crossJoin(maybe_broadcast(ds.genes.where(F.col("gene").isin(list(columns))).select(F.col("gene").alias("x2")), len(columns)))
     out = wanted.withColumnRenamed("gene", "x1").join(both, ["x1", "x2"], "left")
     absent = F.col("p_value").isNull()
     value = F.when(absent | (F.col("p_value") > limit) | (F.col("x1") == F.col("x2")), 0.0).otherwise(F.col("coex"))
@@ -227,7 +227,7 @@ def genes_blocks(ds: CountDataset, primary: list, secondary: list | None = None,
 def cells_heatmap(ds: CountDataset, cells: list, clusters: DataFrame) -> DataFrame:
     """``x1, x2, coex, c1, c2``: COEX of some cells, with their clusters."""
     pairs = coex(ds, cells=True, subset=cells).where(F.col("x1").isin(list(cells)))
-    of = F.broadcast(clusters.where(F.col("cell").isin(list(cells))))
+    of = maybe_broadcast(clusters.where(F.col("cell").isin(list(cells))), len(cells))
     return pairs.join(of.toDF("x1", "c1"), "x1").join(of.toDF("x2", "c2"), "x2").select("x1", "x2", "coex", "c1", "c2")
 
 
@@ -242,7 +242,7 @@ def markers_heatmap(ds: CountDataset, groups: DataFrame, clusters: DataFrame, me
     """``group, gene, cluster, dea, adj_p_value, mark``: all markers in all clusters, missing genes with nulls."""
     scores = scores if scores is not None else dea(ds, clusters)
     p = dea_p_values(scores, ds.n_cells, ds.n_genes, method)
-    grid = groups.select("group", "gene").crossJoin(F.broadcast(clusters.select("cluster").distinct()))
+    grid = groups.select("group", "gene").crossJoin(maybe_broadcast(clusters.select("cluster").distinct(), ds.n_cells))
     rows = grid.join(scores, ["gene", "cluster"], "left").join(p, ["gene", "cluster"], "left")
     v = F.col("p_value")
     mark = F.when(v.isNull(), "").when(v < 0.001, "***").when(v < 0.01, "**").when(v < 0.05, "*").when(v < 0.1, ".").otherwise("")

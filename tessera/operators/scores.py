@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.dataset import CountDataset, checkpoint
+from tessera.dataset import CountDataset, checkpoint, maybe_broadcast
 from tessera.functions.special import chi_square_tail, log_neg_log
 from tessera.operators.pairs import coex, get_coex, p_values, statistic, symmetric
 from tessera.operators.raw import data_matrix, expressing_cells, nu_normalised, probabilities
@@ -193,7 +193,7 @@ def genes_clusters(ds: CountDataset, groups: dict[str, list], k: int = 25, cuts:
     merges = linkage(1 - unit @ unit.T, method)
     labels = cut_tree(merges, len(x), min(cuts, len(x)))
     known = [r["gene"] for r in ds.genes.where(F.col("gene").isin(markers)).select("gene").collect()]
-    ranks = markers_near(ds, known, ds.n_genes).join(F.broadcast(space.select(F.col("x1").alias("gene")).distinct()), "gene", "left_semi")
+    ranks = markers_near(ds, known, ds.n_genes).join(maybe_broadcast(space.select(F.col("x1").alias("gene")).distinct(), ds.n_genes), "gene", "left_semi")
     of = {(r["gene"], r["marker"]): r["rank"] for r in ranks.select("gene", "marker", "rank").collect()}
     rows = []
     for i, g in enumerate(pdf.index):
