@@ -12,7 +12,7 @@ from tessera.operators import pairs as P
 from tessera.operators import raw as R
 from tessera.operators import scores as S
 from tessera.plans import pipelines
-from tessera.queries.matrix import GENES, brands, dataset, fitted, r6, types
+from tessera.queries.matrix import BASE, CELL_SET, CELL_SQL, GENES, PAIRS, SUBSET, brands, dataset, fitted, p0_sql, r6, tail_sql, types
 from tessera.streaming import upkeep
 
 QUERIES: dict = {}
@@ -58,12 +58,30 @@ def nu_bisection(spark: SparkSession, sf: str) -> DataFrame:
     return M.estimate_nu_bisection(fitted(spark, sf), 1e-8).cells.select("cell", r6("nu").alias("nu"))
 
 
+#: The zeros fall with nu, so halving between the powers of two finds it; 120 steps are more than doubles tell apart.
+ORACLES["nu_bisection"] = (
+    BASE
+    + f"""zs AS (SELECT DISTINCT g - n_genes AS zeros FROM cs, dim WHERE g > n_genes),
+ns(zeros, low, high, i) AS (
+  SELECT zeros, -40.0::DOUBLE, 40.0::DOUBLE, 0 FROM zs
+  UNION ALL
+  SELECT zeros, CASE WHEN p > zeros THEN mid ELSE low END, CASE WHEN p > zeros THEN high ELSE mid END, i + 1
+  FROM (SELECT zeros, low, high, i, (low + high) / 2 AS mid, sum({p0_sql('dispersion', 'lam * pow(2, (low + high) / 2)')}) AS p
+    FROM ns, genes WHERE i < 60 GROUP BY zeros, low, high, i))
+SELECT cell, coalesce(round(pow(2, (low + high) / 2), 6), 'inf'::DOUBLE) AS nu FROM cs CROSS JOIN dim LEFT JOIN (SELECT * FROM ns WHERE i = 60) ON zeros = g - n_genes"""
+)
+
+
 @query
 def dispersion_nu(spark: SparkSession, sf: str) -> DataFrame:
     ds = M.estimate_dispersion_nu(fitted(spark, sf), 1e-2)
     return M.expected_zeros(ds).join(R.expressing_cells(ds), "gene").select("gene", r6("zeros", 1).alias("expected"), (F.lit(ds.n_cells) - F.col("n_cells")).alias("seen"))
 
 
+#: Converged fits expect as many zeros as were seen.
+ORACLES["dispersion_nu"] = BASE + "done AS (SELECT 1) SELECT gene, (c - n_cells)::DOUBLE AS expected, c - n_cells AS seen FROM gs, dim"
+
+
 @query
 def reduced_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Variance of each of ten principal components over the cells."""
@@ -82,6 +100,20 @@ def genes_coex_space(spark: SparkSession, sf: str) -> DataFrame:
     return S.genes_coex_space(fitted(spark, sf), GENES, 5).select("x1", "x2", r6("gcs").alias("gcs"))
 
 
+#: The five nearest genes of each marker and the markers are secondary; the genes above the 0.9 quantile of the local index stay.
+ORACLES["genes_coex_space"] = (
+    BASE
+    + PAIRS
+    + f"""pm AS (SELECT s.x1, s.x2, {tail_sql('s.s')} AS p FROM s WHERE s.x2 IN {SUBSET}),
+sec AS (SELECT DISTINCT x1 AS gene FROM (SELECT *, row_number() OVER (PARTITION BY x2 ORDER BY p, x1) AS k FROM pm) WHERE k <= 5 OR x1 = x2),
+ps AS (SELECT x1, x2, CASE WHEN x1 = x2 THEN 0 ELSE coex END AS coex, c FROM both_ WHERE x2 IN (SELECT gene FROM sec)),
+top AS (SELECT x1, coex * coex * c AS v, row_number() OVER (PARTITION BY x1 ORDER BY coex * coex * c DESC) AS k FROM ps),
+loc AS (SELECT x1, ln(-ln(avg({tail_sql('v')}))) AS gdi FROM top WHERE k <= greatest(1, round_even((SELECT count(*) FROM sec) * 0.1, 0)) GROUP BY x1),
+lim AS (SELECT quantile_cont(gdi, 0.9) AS q FROM loc)
+SELECT ps.x1, ps.x2, round(tanh(coex * sqrt(c)), 6) + 0 AS gcs FROM ps JOIN loc USING (x1), lim WHERE gdi >= q"""
+)
+
+
 @query
 def genes_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return S.genes_clusters(fitted(spark, sf), {"a": [1, 2], "b": [5, 8]}, 10, 3).select("gene", "cluster", "group")
@@ -114,10 +146,19 @@ def language_gdi(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def proceed_to_coex(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way from counts to stored COEX."""
-    ds = pipelines.proceed_to_coex(dataset(spark, sf))
+    ds = pipelines.proceed_to_coex(dataset(spark, sf), threshold=1e-10)
     return ds.gene_coex.select("x1", "x2", r6("coex", 4).alias("coex"))
 
 
+#: The default cutoffs leave this matrix whole, and so the SQL says; it returns nothing where they would not.
+ORACLES["proceed_to_coex"] = (
+    BASE
+    + PAIRS
+    + """few AS (SELECT (SELECT count(*) FROM gs, dim WHERE n_cells <= round_even(c * 0.003, 0)) + (SELECT count(*) FROM cs, dim WHERE n_genes <= round_even(g * 0.002, 0)) AS k)
+SELECT x1, x2, round(coex, 4) + 0 AS coex FROM coex, few WHERE k = 0"""
+)
+
+
 @query
 def cluster_uniformity(spark: SparkSession, sf: str) -> DataFrame:
     """One cluster of documents on a fresh fit, checked."""
@@ -153,6 +194,15 @@ def cells_heatmap(spark: SparkSession, sf: str) -> DataFrame:
     return heatmap(ds, [1, 2, 3, 5, 8, 13], types(ds, sf)).withColumn("coex", r6("coex"))
 
 
+ORACLES["cells_heatmap"] = (
+    BASE
+    + CELL_SQL
+    + f"""done AS (SELECT 1)
+SELECT x1, x2, round((o_yy - (n - n1 - n2 + nn)) * sqrt((1/greatest(1, nn) + 1/greatest(1, n1 - nn) + 1/greatest(1, n2 - nn) + 1/greatest(1, n - n1 - n2 + nn)) / n), 6) + 0 AS coex,
+  a.cluster AS c1, b.cluster AS c2 FROM ct JOIN types a ON a.cell = x1 JOIN types b ON b.cell = x2 WHERE x1 IN {CELL_SET}"""
+)
+
+
 @query
 def variable_genes(spark: SparkSession, sf: str) -> DataFrame:
     ds = documents(spark, sf)
@@ -185,6 +235,9 @@ def packed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return P.unpack(packed, names).select("x1", "x2", r6("value").alias("coex"))
 
 
+ORACLES["packed_round_trip"] = BASE + PAIRS + "done AS (SELECT 1) SELECT x2 AS x1, x1 AS x2, round(coex, 6) + 0 AS coex FROM coex"
+
+
 def planted(spark: SparkSession, sf: str) -> tuple[CountDataset, DataFrame]:
     """(a matrix of 40 genes over the suppliers, ``cell, cluster``): two kinds of suppliers that express other genes.
 
