@@ -591,16 +591,22 @@ def clusters_list(spark, sf):
     return out.select("cluster", F.size("elements").cast("long").alias("n"), F.element_at("elements", 1).alias("first_cell"), F.element_at("elements", -1).alias("last_cell"))
 
 
-@query("from_lists", "SELECT cs.cell, coalesce(cluster, '-1') AS cluster FROM cs LEFT JOIN (SELECT * FROM types WHERE cell % 3 = 0) t USING (cell)")
+def without_first(labels: DataFrame) -> DataFrame:
+    """Labels without those of the first cluster: its cells are in no list."""
+    first = labels.agg(F.min("cluster").alias("first")).first()["first"]
+    return labels.where(F.col("cluster") != F.lit(first))
+
+
+@query("from_lists", "SELECT cs.cell, coalesce(cluster, '-1') AS cluster FROM cs LEFT JOIN (SELECT * FROM types WHERE cluster <> (SELECT min(cluster) FROM types)) t USING (cell)")
 def from_lists(spark, sf):
     ds = dataset(spark, sf)
-    return L.from_lists(L.to_lists(types(ds, sf).where("cell % 3 = 0")), ds.cells)
+    return L.from_lists(L.to_lists(without_first(types(ds, sf))), ds.cells)
 
 
-@query("grouped_positions", "SELECT cell, coalesce(cluster, '-1') AS cluster, row_number() OVER (ORDER BY cluster IS NULL, cluster, cell)::INT AS place FROM cs LEFT JOIN (SELECT * FROM types WHERE cell % 3 = 0) t USING (cell)")
+@query("grouped_positions", "SELECT cell, coalesce(cluster, '-1') AS cluster, row_number() OVER (ORDER BY cluster IS NULL, cluster, cell)::INT AS place FROM cs LEFT JOIN (SELECT * FROM types WHERE cluster <> (SELECT min(cluster) FROM types)) t USING (cell)")
 def grouped_positions(spark, sf):
     ds = dataset(spark, sf)
-    return L.grouped_positions(types(ds, sf).where("cell % 3 = 0"), ds.cells)
+    return L.grouped_positions(without_first(types(ds, sf)), ds.cells)
 
 
 @query("condition_from_name", "SELECT p_name AS cell, split_part(p_name, ' ', 2) AS condition FROM part")

@@ -161,12 +161,14 @@ SELECT x1, x2, round(coex, 4) + 0 AS coex FROM coex, few WHERE k = 0"""
 
 @query
 def cluster_uniformity(spark: SparkSession, sf: str) -> DataFrame:
-    """One cluster of documents on a fresh fit, checked."""
+    """The documents of each language on a fresh fit, checked."""
     from tessera.operators.uniformity import SimpleCheck, checks_to_frame
 
     ds = documents_fitted(spark, sf)
-    filled = pipelines.check_uniformity(ds, languages(ds, sf).where("cluster = 'de'"), SimpleCheck())
-    return checks_to_frame(spark, [filled]).select("class", "is_uniform", "cluster_size")
+    of = checkpoint(languages(ds, sf))
+    names = sorted(r["cluster"] for r in of.select("cluster").distinct().collect() if r["cluster"])
+    checks = {c: pipelines.check_uniformity(ds, of.where(F.col("cluster") == c), SimpleCheck()) for c in names}
+    return checks_to_frame(spark, checks).select("name", "class", "is_uniform", "cluster_size")
 
 
 @query
