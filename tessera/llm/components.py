@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, join_counted
 
 
+#: Edges of a task.
+EDGES = 50_000
+
+
 def _large(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it. A node of many edges is joined by broadcast."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,18 +30,20 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``node, root``: the smallest node that each node can reach.
 
     Loops and repeated edges do no harm, nodes without an edge do not occur. Each round is written
-    to the checkpoint folder; a number of rounds logarithmic in the components' size is enough.
+    to the checkpoint folder; a number of rounds logarithmic in the components' size is enough. The
+    steps of a round run in a task for every ``EDGES`` edges, however many partitions a shuffle has.
     """
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = checkpoint(down), None
-    edges = now.count()
+    n = now.count()
     while True:
-        stars = _small(_large(now, edges).distinct()).distinct()
-        now = checkpoint(stars)
+        tasks = max(2, -(-n // EDGES))
+        large = _large(now.coalesce(tasks), n).coalesce(tasks).distinct().coalesce(tasks)
+        now = checkpoint(_small(large).coalesce(tasks).distinct().coalesce(tasks))
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
             break
-        mark, edges = (seen["n"], seen["h"]), seen["n"]
+        mark, n = (seen["n"], seen["h"]), seen["n"]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
