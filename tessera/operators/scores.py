@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.dataset import CountDataset, checkpoint, maybe_broadcast
+from tessera.dataset import SMALL, CountDataset, checkpoint, maybe_broadcast
 from tessera.functions.special import chi_square_tail, log_neg_log
 from tessera.operators.pairs import coex, get_coex, p_values, statistic, symmetric
 from tessera.operators.raw import data_matrix, expressing_cells, nu_normalised, probabilities
@@ -94,6 +94,8 @@ def variance_after_trend(ds: CountDataset, span: float = 0.3) -> DataFrame:
     """``gene, pos, score``: variance of counts standardised by a local quadratic trend, clipped at sqrt(C)."""
     from tessera.algos.smooth import loess
 
+    if ds.n_genes > SMALL:
+        raise ValueError(f"more than {SMALL} genes: their trend is fitted on the driver")
     rows = _moments(ds, data_matrix(ds, "raw")).where("mean > 0 and var > 0").orderBy("pos").toPandas()
     x, y = np.log10(rows["mean"].to_numpy()), np.log10(rows["var"].to_numpy())
     rows["sd"] = np.sqrt(10 ** loess(x, y, span))

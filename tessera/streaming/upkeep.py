@@ -23,6 +23,30 @@ def windowed(events: DataFrame, time: str, gene: str, cell: str, length: str = "
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "gene", "cell", "n")
 
 
+def keep(events: DataFrame, gene: str, cell: str, path: str, checkpoint: str, n: str | None = None) -> None:
+    """Takes what has arrived and keeps its counts as one folder a micro-batch, ``path/batch=<id>``.
+
+    A batch that is run again after a failure overwrites its own folder, so every event counts once.
+    No state is kept between batches and nothing is gathered on the driver. ``current`` adds them up.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        increments(batch, gene, cell, n).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """``gene, cell, n``: the sums of all batches kept so far."""
+    return spark.read.parquet(path).groupBy("gene", "cell").agg(F.sum("n").alias("n"))
+
+
+def compact(spark: SparkSession, path: str, into: str) -> None:
+    """Writes the current sums to another folder as one batch, before all later ones."""
+    current(spark, path).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
     """Drains a bounded stream into a table in memory and returns it; for tests and small results."""
     writer = stream.writeStream.outputMode(mode).format("memory").queryName(name)

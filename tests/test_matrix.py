@@ -430,3 +430,31 @@ def test_imports_of_coex(spark, fit, tiny, tmp_path):
     assert P.coex_available(back) and {(r.x1, r.x2): r.coex for r in back.gene_coex.collect()} == {(r.x1, r.x2): r.coex for r in ds.gene_coex.collect()}
     both = T.union_conditions({"one": tiny, "two": tiny})
     assert both.columns == ["gene", "cell", "n", "cond"] and both.count() == 2 * tiny.counts.count()
+
+
+def test_counts_kept_from_a_stream(spark, tmp_path):
+    from tessera.streaming import upkeep
+
+    schema, folder = "kind string, who long", str(tmp_path / "in")
+    rows = [("a", i % 3) for i in range(20)] + [("b", 1)] * 5
+    for at in range(0, 25, 10):
+        spark.createDataFrame(rows[at : at + 10], schema).coalesce(1).write.mode("append").parquet(folder)
+        upkeep.keep(upkeep.read_events(spark, folder, schema), "kind", "who", str(tmp_path / "kept"), str(tmp_path / "marks"))
+    want = {("a", 0): 7, ("a", 1): 7, ("a", 2): 6, ("b", 1): 5}
+    assert {(r.gene, r.cell): r.n for r in upkeep.current(spark, str(tmp_path / "kept")).collect()} == want
+    assert len([p for p in (tmp_path / "kept").iterdir() if p.name.startswith("batch=")]) == 3
+    upkeep.compact(spark, str(tmp_path / "kept"), str(tmp_path / "one"))
+    assert {(r.gene, r.cell): r.n for r in upkeep.current(spark, str(tmp_path / "one")).collect()} == want
+
+
+def test_counts_of_closed_windows(spark, tmp_path):
+    from datetime import datetime
+
+    from tessera.streaming import upkeep
+
+    schema, folder = "at timestamp, kind string, who long", str(tmp_path / "in")
+    for day, n in ((1, 3), (2, 2), (9, 1)):
+        spark.createDataFrame([(datetime(2024, 1, day, 12), "a", 1)] * n, schema).coalesce(1).write.mode("append").parquet(folder)
+    events = upkeep.read_events(spark, folder, schema, files_per_trigger=10)
+    got = upkeep.run_to_table(upkeep.windowed(events, "at", "kind", "who"), "closed", "append", str(tmp_path / "marks")).collect()
+    assert sorted((r.window_start.day, r.n) for r in got) == [(1, 3), (2, 2)]
