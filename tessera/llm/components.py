@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, join_counted
+from tessera.llm.common import checkpoint
 
 
-#: Edges of a task.
-EDGES = 50_000
+#: Edges of a task, and tasks that share the edges of a node.
+EDGES, SALTS = 50_000, 8
 
 
-def _large(edges: DataFrame, n: int) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest node around it. A node of many edges is joined by broadcast."""
+def _large(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the smallest node around it. A node's edges meet its least neighbour in ``SALTS`` tasks."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
-    return join_counted(both.where("b > a"), least, "a", 2 * n, size="degree").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     n = now.count()
     while True:
         tasks = max(2, -(-n // EDGES))
-        large = _large(now.coalesce(tasks), n).coalesce(tasks).distinct().coalesce(tasks)
+        large = _large(now.coalesce(tasks)).coalesce(tasks).distinct().coalesce(tasks)
         now = checkpoint(_small(large).coalesce(tasks).distinct().coalesce(tasks))
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):

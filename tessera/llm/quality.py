@@ -102,12 +102,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: int = 0) -> Data
     label).
     """
     score = _scorer(*train(*labelled_sample(docs, labels, "quality", held_out)[:3]))
+    trim()
     return small_batches(docs).select(F.col("doc_id"), (fold_of(F.col("doc_id")) == held_out).alias("held_out"), score(F.col("text")).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with the columns of ``docs``. Edge cases as in ``score_quality``."""
     score = _scorer(*train(*labelled_sample(docs, labels, "quality")[:3]))
+    trim()
     return small_batches(docs).where(score(F.col("text")) >= threshold)
 
 
