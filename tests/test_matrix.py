@@ -21,6 +21,7 @@ from tessera.operators import uniformity as U
 from tessera.sources import tables as T
 
 INF = float("inf")
+#: Two profiles of counts that alternate over the cells.
 ODD, EVEN = (1, 0, 4, 2, 11, 0, 6, 7, 0, 9), (10, 8, 0, 0, 0, 3, 0, 0, 2, 0)
 
 
@@ -36,6 +37,7 @@ def fit(tiny):
 
 
 def test_solver_constants():
+    # fixed values: known solutions of the zero-count equations
     nu = np.tile([0.5, 1.5], 5)
     assert dispersion_newton([3, 1.75, 2], [0, 5, 1], nu) == pytest.approx([-INF, 1.980664643877, -0.645937418860], abs=1e-11)
     assert dispersion_bisection([3, 1.75, 2], [0, 5, 1], nu) == pytest.approx([-INF, 1.980468750, -0.646484375])
