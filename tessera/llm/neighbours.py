@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, small_batches, table
 
 TREES, RUN, FROM_RUN, DEGREE, REVERSE, FROM_NODE, ROUNDS, SEED = 16, 256, 8, 32, 16, 10, 4, 11
+#: Vectors of queries of so many bytes in all are broadcast.
+BROADCAST_BYTES = 64_000_000
 #: Nodes that a query opens in one step, edges followed from each, nodes that it keeps, and the most steps (None: until it converges).
 OPEN, LINKS, POOL, STEPS, TOP = 32, 64, 400, None, 5
 
@@ -196,19 +198,27 @@ def _scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(batch.column("v").to_numpy(), batch.column("u").to_numpy(), np.einsum("ij,ij->i", a, b))
 
 
+def _beside(asked: DataFrame) -> DataFrame:
+    """The queries' vectors, to be joined to pairs: by broadcast where they are few enough, so that pairs move without vectors."""
+    n = asked.count()
+    size = n and n * (asked.agg(F.avg(F.octet_length("query_unit") if "query_unit" in asked.columns else 8 * F.size("query_vector")).alias("b")).first()["b"] + 16)
+    return F.broadcast(asked) if size <= BROADCAST_BYTES else asked
+
+
 def search_graph(graph: DataFrame, units: DataFrame, queries: DataFrame, pool: int = POOL, steps: int | None = STEPS, open_: int = OPEN) -> DataFrame:
     """``queries(v)``: nodes of the graph -> ``v, u, sim``: the nodes met on a greedy walk from each."""
     both = graph.select("v", "u", "sim").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")).groupBy("v", "u").agg(F.max("sim").alias("sim"))
     near = W.partitionBy("v").orderBy(F.desc("sim"), "u")
     links = checkpoint(both.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= LINKS).select(F.col("v").alias("at"), F.col("u").alias("next")))
     asked = checkpoint(units.join(queries.select(F.col("v").alias("node")), "node", "left_semi").select(F.col("node").alias("v"), F.col("unit").alias("query_unit")))
+    vectors = _beside(asked)
     met = checkpoint(graph.join(queries, "v", "left_semi").select("v", "u", "sim", F.lit(False).alias("opened")))
     for _ in itertools.count() if steps is None else range(steps):
         rank = F.row_number().over(W.partitionBy("v").orderBy("opened", F.desc("sim"), "u"))
         marked = met.withColumn("opening", (~F.col("opened")) & (rank <= open_))
         frontier = marked.where("opening").select("v", F.col("u").alias("at"))
         found = frontier.join(links, "at").select("v", F.col("next").alias("u")).where("u <> v").distinct().join(met.select("v", "u"), ["v", "u"], "left_anti")
-        scored = found.join(units.select(F.col("node").alias("u"), "unit"), "u").join(asked, "v").select("v", "u", "unit", "query_unit").mapInArrow(_scorer, EDGES)
+        scored = found.join(units.select(F.col("node").alias("u"), "unit"), "u").join(vectors, "v").select("v", "u", "unit", "query_unit").mapInArrow(_scorer, EDGES)
         after = marked.select("v", "u", "sim", (F.col("opened") | F.col("opening")).alias("opened")).unionByName(scored.withColumn("opened", F.lit(False)))
         kept = checkpoint(after.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= pool).drop("rank"))
         met = kept
@@ -261,7 +271,7 @@ def nearest(rows: DataFrame, query_every: int, id_col: str = "vec_id", vector_co
     walked = search_graph(graph, units, asked.select(F.col("node").alias("v")).distinct(), **options)
     itself = asked.select(F.col("node").alias("v"), F.col("node").alias("u")).distinct().withColumn("sim", F.lit(2.0))
     best = walked.unionByName(itself).select("v", "u")
-    pairs = best.join(asked, F.col("v") == F.col("node")).drop("node").join(members.withColumnRenamed("node", "u"), "u").where("vec_id <> query_id")
+    pairs = best.join(members.withColumnRenamed("node", "u"), "u").join(_beside(asked), F.col("v") == F.col("node")).drop("node").where("vec_id <> query_id")
     scored = pairs.select("query_id", "query_vector", "vec_id", "vector").mapInArrow(_exact, "query_id long, vec_id long, score double")
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", order).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
