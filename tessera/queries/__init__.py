@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.queries import matrix, more
+from tessera.queries import access, matrix, more
 
-QUERIES: dict = matrix.QUERIES | more.QUERIES
-ORACLES: dict = matrix.ORACLES | more.ORACLES
+QUERIES: dict = matrix.QUERIES | more.QUERIES | access.QUERIES
+ORACLES: dict = matrix.ORACLES | more.ORACLES | access.ORACLES
