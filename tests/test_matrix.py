@@ -45,6 +45,18 @@ def test_solver_constants():
     assert nu_bisection([3, 6], lam, a, [1.0, 1.5]) == pytest.approx([3.1484375, 0.349365234375])
 
 
+def test_solvers_end_where_rounding_hides_the_threshold():
+    # sums over 1.2 million cells are rounded by more than 1e-10: both ways still end, near one another
+    nu, m = np.arange(11, 53) / 30, np.round(1.2e6 * np.exp(-((np.arange(42) - 19) ** 2) / 60) / 13.7)
+    lam = np.linspace(4e-4, 6e-4, 200)
+    zeros = np.round(m.sum() - lam * (m * nu).sum() * np.linspace(0.97, 1.0, 200))
+    found = dispersion_bisection(lam, zeros, nu, m, 1e-10)
+    assert np.isfinite(found).all() and np.abs(zero_probability(found[:, None], lam[:, None] * nu) @ m - zeros).max() < 2e-9
+    quick = dispersion_newton(lam, zeros, nu, m, 1e-10, strict=False)
+    ok = ~np.isnan(quick)
+    assert ok.any() and np.abs(quick - found)[ok].max() < 1e-6
+
+
 def test_zero_probability(spark):
     cases = [(-1.0, 1.0, math.exp(-2)), (0.0, 1.0, math.exp(-1)), (1.0, 1.0, 0.5), (10.0, 1.0, 11**-0.1), (INF, 1.0, 1.0), (-INF, 1.0, 0.0)]
     df = spark.createDataFrame(cases, "a double, mu double, want double").select(probability_of_zero(F.col("a"), F.col("mu")).alias("p"), "*")
