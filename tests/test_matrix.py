@@ -93,6 +93,25 @@ def test_coex(fit):
     assert len(part) == 20 and all(v == pytest.approx(pairs[min(k), max(k)]) for k, v in part.items())
 
 
+def test_strips_as_the_joined_tables(fit, monkeypatch):
+    from tessera.operators import dense
+
+    both = P.both_tables(fit).select("x1", "x2", P.coex_value(20).alias("coex"))
+    want = {(r.x1, r.x2): r.coex for r in both.collect()}
+    s = P.symmetric(both, "coex").select("x1", "x2", F.when(F.col("x1") == F.col("x2"), 0.0).otherwise(F.col("coex") * F.col("coex") * 20).alias("s"))
+    scores = {r.x2: r.gdi for r in S.gdi_given_s(s, 10, 0.3).collect()}
+    for per_pair in (1e-7, 1.0):  # by pairs of lists, and by products of small blocks and chunks
+        monkeypatch.setattr(dense, "PER_PAIR", per_pair)
+        monkeypatch.setattr(dense, "BLOCK", 4)
+        monkeypatch.setattr(dense, "CHUNK", 3)
+        monkeypatch.setattr(dense, "OUT", 3)
+        assert {(r.x1, r.x2): pytest.approx(r.coex, abs=1e-9) for r in P.coex(fit).collect()} == want
+        assert {r.gene: pytest.approx(r.gdi, abs=1e-6) for r in S.gdi(fit, fraction=0.3).collect()} == scores
+        g = {(r.x1, r.x2): r.s for r in P.g_statistic(fit).collect()}
+        assert len(g) == 100 and all(g[k] == pytest.approx(g[k[::-1]], abs=1e-6) for k in g)
+        assert "SortMergeJoin" not in P.coex(fit)._jdf.queryExecution().executedPlan().toString().split("FlatMapGroups")[0]
+
+
 def test_tables_sum_to_the_cells(fit):
     for table in (P.observed_tables(fit), P.expected_tables(fit), P.expected_tables(fit, cells=True)):
         n = {round(r.nn + r.ny + r.yn + r.yy, 6) for r in table.collect()}
