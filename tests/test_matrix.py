@@ -112,6 +112,22 @@ def test_strips_as_the_joined_tables(fit, monkeypatch):
         assert "SortMergeJoin" not in P.coex(fit)._jdf.queryExecution().executedPlan().toString().split("FlatMapGroups")[0]
 
 
+def test_dense_rows_without_a_shuffle_of_the_grid(fit):
+    rows = {(r.gene, r.cell): (r.z, r.p0) for r in R.probabilities(fit).collect()}
+    for formula in ("raw", "sLog"):
+        made = R.likelihood(fit, formula)
+        assert made._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") + made._jdf.queryExecution().executedPlan().toString().count("NestedLoop") == 0
+        got = {(r.gene, r.cell): r.value for r in made.collect()}
+        assert set(got) == set(rows)
+        for k, (z, p) in rows.items():
+            p = max(min(p, 1 - 1e-8), 1e-8)
+            assert got[k] == pytest.approx({"raw": 1 - p if z else p, "sLog": -math.log1p(-p) if z else math.log(p)}[formula], abs=1e-9)
+    got = {r.gene: r.ce for r in S.cross_entropy(fit).collect()}
+    assert S.cross_entropy(fit)._jdf.queryExecution().analyzed().toString().count("nu") and got["A"] == 0
+    for g in set(got) - {"A"}:
+        assert got[g] == pytest.approx(-sum(math.log1p(-p) if z else math.log(p) for (x, _), (z, p) in rows.items() if x == g) / 20, abs=1e-9)
+
+
 def test_tables_sum_to_the_cells(fit):
     for table in (P.observed_tables(fit), P.expected_tables(fit), P.expected_tables(fit, cells=True)):
         n = {round(r.nn + r.ny + r.yn + r.yy, 6) for r in table.collect()}
