@@ -15,17 +15,26 @@ ROWS_PER_CLASS, LONGEST = 5000, 120_000
 
 
 class Sample(NamedTuple):
-    """Texts with their labels, weights and groups (None where no column was asked for)."""
+    """Texts with their labels, weights and ids."""
 
     texts: list[str]
     y: np.ndarray
     weight: np.ndarray
-    groups: list
+    ids: list
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, per_class: int = ROWS_PER_CLASS, longest: int = LONGEST, group_col: str | None = None
-) -> Sample:
+def clear_labels(labels: DataFrame, label: str, held_out: int = 0) -> DataFrame:
+    """``doc_id, y`` outside the held-out fold; ids with a null label or with two different labels are left out."""
+    return (
+        labels.where(F.col(label).isin(0, 1) & (fold_of(F.col("doc_id")) != held_out))
+        .groupBy("doc_id")
+        .agg(F.min(label).alias("low"), F.max(label).alias("y"))
+        .where("low = y")
+        .select("doc_id", F.col("y").cast("int").alias("y"))
+    )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, per_class: int = ROWS_PER_CLASS, longest: int = LONGEST) -> Sample:
     """A bounded sample of the rows outside the held-out fold.
 
     The rows of each class come in the order of a hash of their id, at most ``per_class`` of them
@@ -33,31 +42,23 @@ def labelled_sample(
     every run. The weights restore the classes' shares among all labels. Ids with a null label or
     with two different labels are left out; where an id has several texts, the least of them counts.
     """
-    of = (
-        labels.where(F.col(label).isin(0, 1) & (fold_of(F.col("doc_id")) != held_out))
-        .groupBy("doc_id")
-        .agg(F.min(label).alias("low"), F.max(label).alias("y"))
-        .where("low = y")
-        .select("doc_id", F.col("y").cast("int").alias("y"))
-    )
+    of = clear_labels(labels, label, held_out)
     share = {r["y"]: r["count"] for r in of.groupBy("y").count().collect()}
     order = [F.xxhash64(F.lit(label), "doc_id"), F.col("doc_id")]
     picked = of.where("y = 0").orderBy(*order).limit(per_class).unionByName(of.where("y = 1").orderBy(*order).limit(per_class))
-    group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     rows = (
-        docs.select("doc_id", F.struct(F.col("text"), group.alias("group")).alias("row"))
-        .where(F.col("row.text").isNotNull() & (F.octet_length("row.text") <= longest))
+        docs.select("doc_id", "text")
+        .where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
         .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "y")
-        .agg(F.min("row").alias("row"))
+        .agg(F.min("text").alias("text"))
         .orderBy(*order)
-        .select("y", "row.*")
         .toPandas()
     )
     y = rows["y"].to_numpy(int)
     total = max(1, sum(share.values()))
     weight = np.array([share.get(c, 0) / total / max(1, (y == c).sum()) for c in y])
-    return Sample(rows["text"].tolist(), y, weight * len(y), [g if isinstance(g, str) else None for g in rows["group"]])
+    return Sample(rows["text"].tolist(), y, weight * len(y), rows["doc_id"].tolist())
 
 
 class Logistic:

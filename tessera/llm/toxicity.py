@@ -4,8 +4,9 @@ A word is the sum of hashed embeddings: itself under two hashes and its first 4,
 inflected forms share their stem. Filters of widths 1, 2 and 3 run over the words, the largest value
 of each filter goes to a logistic unit. What training never saw has a zero embedding, so a long text
 gains nothing from unknown words. The score sees the text alone. For the operator's own flags, a
-threshold per language is chosen on a fifth of the labelled training rows, by a network that was
-fitted on the other four; no row of the held-out fold has a part in it.
+threshold per language is chosen on every labelled training row that a second network was not fitted
+on: that network learns from four fifths of the sample, so all other labels have a part in the
+thresholds, however many they are. No row of the held-out fold has one.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_of, small_batches, table, trim
-from tessera.llm.learn import Sample, labelled_sample
+from tessera.llm.common import checkpoint, fold_of, small_batches, table, trim
+from tessera.llm.learn import Sample, clear_labels, labelled_sample
 
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 4, 24, 0.1, 7
@@ -28,6 +30,10 @@ SCORE_WORDS = 400_000
 EDGE = b".,;:!?$%*&#|\"'()[]{}<>-_~`=+/\\"
 #: Bytes of the stems, and what stands between two texts.
 STEMS, GAP = (4, 5, 6), (0,) * max(WIDTHS)
+#: Steps of the scores between which thresholds are sought; rows of one step stay on one side.
+STEPS = 1 << 16
+#: Thresholds of at most so many languages are joined by broadcast.
+MOST_GROUPS = 100_000
 #: A worker remembers so many words.
 REMEMBERED = 250_000
 
@@ -232,33 +238,61 @@ def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> floa
     return float((ranked[at] + below) / 2)
 
 
-def language_thresholds(sample: Sample, parts: int = 5) -> dict[str | None, float]:
-    """A threshold for each language of the sample: every fifth row is left to it, a network is fitted on the rest."""
+def _calibrating(sample: Sample, parts: int = 5) -> tuple[Network | float, list]:
+    """(a network, the ids it was fitted on): every fifth row of the sample is left out of it."""
     own = np.arange(len(sample.y)) % parts == 0
     net = train([t for t, o in zip(sample.texts, own, strict=True) if not o], sample.y[~own], sample.weight[~own])
-    texts = [t for t, o in zip(sample.texts, own, strict=True) if o]
-    score, y, weight = _scores(net, texts), sample.y[own], sample.weight[own]
-    groups = np.array([g or "" for g, o in zip(sample.groups, own, strict=True) if o], object)
-    return {g or None: best_threshold(score[groups == g], y[groups == g], weight[groups == g]) for g in sorted(set(groups))}
+    return net, [i for i, o in zip(sample.ids, own, strict=True) if not o]
+
+
+def language_thresholds(scored: DataFrame, of: DataFrame, fitted_on: DataFrame) -> DataFrame:
+    """``group, threshold``: the best threshold of each group over all labelled rows that the network was not fitted on.
+
+    ``scored(doc_id, lang, other)`` has the network's scores, ``of(doc_id, y)`` the labels, one an id;
+    of an id with several rows the one of the lowest score counts. Rows are counted in steps of the
+    score first, so a group's table is bounded whatever the number of its labels.
+    """
+    rows = scored.join(of, "doc_id").join(fitted_on, "doc_id", "left_anti").groupBy("doc_id", "y").agg(F.min(F.struct("other", F.coalesce("lang", F.lit("")).alias("group"))).alias("row"))
+    step = F.floor(F.col("row.other") * STEPS).alias("step")
+    counts = rows.groupBy("row.group", step).agg(
+        F.sum(F.col("y").cast("double")).alias("hits"), F.count(F.lit(1)).cast("double").alias("n"), F.min("row.other").alias("low"), F.max("row.other").alias("high")
+    )
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("step", ascending=False)
+        hits, above, found = part["hits"].cumsum().to_numpy(), part["n"].cumsum().to_numpy(), 0.5
+        if 0 < hits[-1] < above[-1]:
+            at = int(np.argmax(2 * hits / (above + hits[-1])))
+            found = float((part["low"].iloc[at] + (part["high"].iloc[at + 1] if at + 1 < len(part) else 0.0)) / 2)
+        return pd.DataFrame({"group": [part["group"].iloc[0]], "threshold": [found]})
+
+    return counts.groupBy("group").applyInPandas(best, "group string, threshold double")
 
 
 def flag_toxic(docs: DataFrame, labels: DataFrame, held_out: int = 0, lang_col: str = "lang") -> DataFrame:
     """``doc_id, held_out, score, threshold, flagged``: scores, and flags by the threshold of each row's language.
 
-    One row per input row. The thresholds are at most as many as the sample's rows, which are bounded;
-    a language that the sample lacks, and every row where there is no such column, has 0.5. Otherwise
-    as ``score_toxicity``.
+    One row per input row. A language without a label that the thresholds may see, and every row where
+    there is no such column, has 0.5. Otherwise as ``score_toxicity``.
     """
     named = lang_col in docs.columns
-    sample = labelled_sample(docs, labels, "toxic", held_out, group_col=lang_col if named else None)
-    score, found = _scorer(train(*sample[:3])), language_thresholds(sample) if named and len(sample.y) else {}
+    sample = labelled_sample(docs, labels, "toxic", held_out)
+    named = named and len(sample.y) > 0
+    score = _scorer(train(*sample[:3]))
+    held = (fold_of(F.col("doc_id")) == held_out).alias("held_out")
+    if not named:
+        return small_batches(docs).select("doc_id", held, score(F.col("text")).alias("score")).select("*", F.lit(0.5).alias("threshold"), (F.col("score") >= 0.5).alias("flagged"))
+    net, ids = _calibrating(sample)
+    other = _scorer(net)
     del sample
     trim()
-    thresholds = docs.sparkSession.createDataFrame(list(found.items()), "group string, threshold double")
-    lang = F.col(lang_col).cast("string") if named else F.lit(None).cast("string")
-    lang = F.when(lang != "", lang)  # no language and an empty name are one
-    rows = small_batches(docs).select("doc_id", (fold_of(F.col("doc_id")) == held_out).alias("held_out"), score(F.col("text")).alias("score"), lang.alias("lang"))
-    out = rows.join(F.broadcast(thresholds), F.col("lang").eqNullSafe(F.col("group")), "left")
+    lang = F.col(lang_col).cast("string")
+    # scores are written out once, for the thresholds and for the result; texts are not joined with the labels
+    rows = checkpoint(small_batches(docs).select("doc_id", held, score(F.col("text")).alias("score"), other(F.col("text")).alias("other"), F.coalesce(lang, F.lit("")).alias("lang")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fitted_on = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {kind}")
+    thresholds = checkpoint(language_thresholds(rows.where(~F.col("held_out")), clear_labels(labels, "toxic", held_out), F.broadcast(fitted_on))).withColumnRenamed("group", "lang")
+    out = rows.join(F.broadcast(thresholds) if thresholds.count() <= MOST_GROUPS else thresholds, "lang", "left")  # no language and an empty name are one
     limit = F.coalesce("threshold", F.lit(0.5))
     return out.select("doc_id", "held_out", "score", limit.alias("threshold"), (F.col("score") >= limit).alias("flagged"))
 

@@ -312,6 +312,31 @@ def test_flags_by_language(spark):
     assert again == {i: (r.score, r.threshold) for i, r in got.items()}
 
 
+def test_thresholds_count_every_label(spark, monkeypatch):
+    """Labels beyond the sample of the network have a part in the thresholds."""
+    from tessera.llm import learn
+
+    rows = [(i, "en", 0.3 if i % 4 == 0 else 0.1) for i in range(400)] + [(1000 + i, "de", 0.9 if i % 2 else 0.7) for i in range(100)] + [(2000, None, 0.2)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, other double")
+    of = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(1000 + i, int(i % 2)) for i in range(100)] + [(2000, 1)], "doc_id long, y int")
+    out = spark.createDataFrame([(1, 1)], "doc_id long, k int").select("doc_id")
+    got = {r["group"]: r.threshold for r in toxicity.language_thresholds(scored, of, out).collect()}
+    assert got == {"en": pytest.approx(0.2), "de": pytest.approx(0.8), "": 0.5}
+    for lang, at in (("en", 0), ("de", 1000)):
+        keep = [(r[2], y[1]) for r, y in zip(rows, of.collect(), strict=True) if r[1] == lang and r[0] != 1]
+        score, y = np.array(keep).T
+        assert got[lang] == pytest.approx(toxicity.best_threshold(score, y.astype(int), np.ones(len(y))))
+    seen = []
+    real = toxicity.language_thresholds
+    monkeypatch.setattr(toxicity, "language_thresholds", lambda s, o, f: seen.append(s.join(o, "doc_id").join(f, "doc_id", "left_anti").count()) or real(s, o, f))
+    monkeypatch.setattr(learn.labelled_sample, "__defaults__", (0, 20, learn.LONGEST))
+    docs = spark.createDataFrame([(i, "calm vile" if i % 4 == 0 else "calm river", "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    toxicity.flag_toxic(docs, labels).collect()
+    training = docs.where(toxicity.fold_of(F.col("doc_id")) != 0).count()
+    assert seen == [training - 32], "all training labels but the 32 of 40 that the network was fitted on"
+
+
 def test_network_against_loops():
     """Scores of the network, computed once more word by word."""
     net = toxicity.Network()
