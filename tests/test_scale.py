@@ -48,3 +48,20 @@ def test_blocks_make_only_pairs_that_they_show(fit, monkeypatch):
     rows = blocks.collect()
     assert {(r.x1, r.x2) for r in rows} == {(r.x1, r.x2) for r in made[-1].collect()}
     assert limits == pytest.approx([round(float(np.quantile([r.coex for r in rows], q)), 3) for q in (0.001, 0.999)], abs=1e-9)
+
+
+def test_distances_are_held_once():
+    """The same merges as from a square matrix, within the memory of a triangle and a few rows."""
+    import tracemalloc
+
+    from tessera.algos.hierarchy import Distances, linkage
+
+    x = np.random.default_rng(4).normal(size=(2000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = linkage(1 - x @ x.T)
+    tracemalloc.start()
+    got = linkage(Distances.cosine(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [m[:2] for m in got] == [m[:2] for m in want] and [m[2] for m in got] == pytest.approx([m[2] for m in want])
+    assert peak < 8 * 2000 * 2000
