@@ -59,6 +59,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver give up what earlier steps left: plans, generated classes, and with them shuffles and checkpoints.
+
+    Spark drops these when the driver's JVM has collected what refers to them, which a loop of many small plans
+    does not bring about before its memory is full.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Gives memory that a worker has freed back to the system; a worker is kept from task to task."""
     import ctypes

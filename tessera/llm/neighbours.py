@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, small_batches, table
+from tessera.llm.common import checkpoint, release, small_batches, table
 
 TREES, RUN, FROM_RUN, DEGREE, REVERSE, FROM_NODE, ROUNDS, SEED = 16, 256, 8, 32, 16, 10, 4, 11
 #: Vectors of queries of so many bytes in all are broadcast.
 BROADCAST_BYTES = 64_000_000
 #: Nodes that a query opens in one step, edges followed from each, nodes that it keeps, and the most steps (None: until it converges).
-OPEN, LINKS, POOL, STEPS, TOP = 32, 64, 400, None, 5
+#: A step is a plan of its own on the driver, so few steps open many nodes each.
+OPEN, LINKS, POOL, STEPS, TOP = 128, 64, 400, None, 5
 
 
 def clean_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -187,6 +188,7 @@ def build_graph(units: DataFrame, n: int, degree: int = DEGREE, rounds: int = RO
         made = local.repartition(parts, "v").sortWithinPartitions("v").mapInArrow(_local_join(FROM_NODE), EDGES)
         after = graph.withColumn("fresh", F.lit(False)).unionByName(made.withColumn("fresh", F.lit(True)))
         graph = checkpoint(_keep(after, degree))
+        release(units.sparkSession)
         if graph.where("fresh").count() < 0.002 * n * degree:
             break
     return graph.select("v", "u", "sim")
@@ -222,6 +224,7 @@ def search_graph(graph: DataFrame, units: DataFrame, queries: DataFrame, pool: i
         after = marked.select("v", "u", "sim", (F.col("opened") | F.col("opening")).alias("opened")).unionByName(scored.withColumn("opened", F.lit(False)))
         kept = checkpoint(after.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= pool).drop("rank"))
         met = kept
+        release(units.sparkSession)
         if not met.where(~F.col("opened")).limit(1).count():
             break
     return met.select("v", "u", "sim")
