@@ -65,3 +65,19 @@ def test_distances_are_held_once():
     tracemalloc.stop()
     assert [m[:2] for m in got] == [m[:2] for m in want] and [m[2] for m in got] == pytest.approx([m[2] for m in want])
     assert peak < 8 * 2000 * 2000
+
+
+def test_dense_rows_once_for_each_efficiency(fit, monkeypatch):
+    """Rows are rounded where they are made, in slices and with few kept efficiencies as at once."""
+    from tessera.operators import raw as R
+
+    mu = {(r.gene, r.cell): r.mu for r in fit.genes.crossJoin(fit.cells).selectExpr("gene", "cell", "round(lambda * nu, 6) AS mu").collect()}
+    logs = {(r.gene, r.cell): r.value for r in R.likelihood(fit, "sLog").collect()}
+    monkeypatch.setattr(R, "DENSE_VALUES", 25)
+    monkeypatch.setattr(R, "DENSE_KEPT", 15)
+    assert {(r.gene, r.cell): pytest.approx(r.mu, abs=1e-12) for r in M.mu(fit, 6).collect()} == mu and len(mu) == 200
+    assert {(r.gene, r.cell): pytest.approx(r.value, abs=6e-6) for r in R.likelihood(fit, "sLog", 5).collect()} == logs
+    assert R.rounded(np.array([-2.5, 0.125, -0.001]), 2).tolist() == [-2.5, 0.13, 0.0] and np.signbit(R.rounded(np.array([-0.001]), 2)).sum() == 0
+    for rows in (M.mu(fit, 6), R.likelihood(fit, "sLog", 5)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "round(" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
