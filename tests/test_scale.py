@@ -81,3 +81,16 @@ def test_dense_rows_once_for_each_efficiency(fit, monkeypatch):
     for rows in (M.mu(fit, 6), R.likelihood(fit, "sLog", 5)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "round(" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stored_coex_is_packed(fit, monkeypatch):
+    """What is written out has a row a gene, and reads as the table of pairs."""
+    from tessera.operators import pairs as P
+
+    want = {(r.x1, r.x2): r.coex for r in P.coex(fit).collect()}
+    written, keep = [], P.checkpoint
+    monkeypatch.setattr(P, "checkpoint", lambda rows: written.append(keep(rows)) or written[-1])
+    monkeypatch.setattr(P, "UNPACKED", 4)
+    rows = P.calculate_coex(fit).gene_coex.collect()
+    assert [len(w.columns) for w in written] == [2] and written[0].count() == 10
+    assert len(rows) == len(want) == 55 and {(r.x1, r.x2): pytest.approx(r.coex, abs=1e-12) for r in rows} == want
