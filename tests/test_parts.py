@@ -34,3 +34,25 @@ def test_uniform_parts_stay_whole(spark, monkeypatch):
     assert sorted(asked) == ["01_whole0000", "01_whole0001"], "what was checked as a part is not checked again"
     labels = louvain(shared_graph(nearest(points, 20)), 0.8)
     assert labels.max() + 1 >= 2
+
+
+def test_dense_rows_come_in_runs(spark):
+    """A task's rows are gene by gene, cells of one efficiency side by side: what is written is mostly runs."""
+    from tessera.dataset import CountDataset
+    from tessera.operators import model as M
+    from tessera.operators import raw as R
+
+    rows = [(g, c, 1 + (g + c) % 2 + 3 * (c % 2)) for c in range(12) for g in range(10) if (g + c) % 3]
+    ds = M.estimate_nu(M.estimate_lambda(CountDataset.build(spark.createDataFrame(rows, "gene long, cell long, n long"))))
+    ds = ds.with_gene_columns(ds.genes.selectExpr("gene", "0.5 AS dispersion"))
+    nu = {r.cell: r.nu for r in ds.cells.collect()}
+    p0 = {(r.gene, r.cell): (r.p0, r.z) for r in R.probabilities(ds).collect()}
+    for made, name in ((M.mu(ds, 6), "mu"), (R.likelihood(ds, "der", 5), "value"), (R.data_matrix(ds, "AdjBin", 5), "value")):
+        tasks = [t for t in made.rdd.glom().collect() if t]
+        assert sum(map(len, tasks)) == 120 and len({(r.gene, r.cell) for t in tasks for r in t}) == 120
+        for t in tasks:
+            assert sum(a.gene != b.gene for a, b in zip(t, t[1:])) == 9
+            assert all(nu[a.cell] <= nu[b.cell] for a, b in zip(t, t[1:]) if a.gene == b.gene)
+    for r in R.data_matrix(ds, "AdjBin", 5).collect():
+        p, z = p0[r.gene, r.cell]
+        assert abs(r.value - round(p if z else 1 - p, 5)) < 1.1e-5
