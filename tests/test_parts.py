@@ -72,3 +72,20 @@ def test_pdi_without_a_join(spark):
         assert set(got) == set(want) and 0 < len(got) < 40 * 39
         assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in got)
         assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_positions_are_computed(spark):
+    """Every place of a triangle gives its row and column back, the last ones of a wide triangle too, without a grid."""
+    from tessera.operators import pairs as P
+
+    for n in (1, 2, 7, 60):
+        names = spark.range(n).selectExpr("concat('g', id) AS name", "id AS pos")
+        vector = spark.range(-2, n * (n + 1) // 2 + 3).selectExpr("id AS position", "double(id) AS value")
+        got = {(r.x1, r.x2): r.value for r in P.unpack(vector, names).collect()}
+        assert got == {(f"g{i}", f"g{j}"): float(j * n - j * (j - 1) // 2 + i - j) for j in range(n) for i in range(j, n)}
+    n = 150_000
+    ends = [(i, j) for j in (0, 1, 74_999, 149_997, 149_998, 149_999) for i in {j, j + 1, n - 1} if j <= i < n]
+    vector = spark.createDataFrame([(j * n - j * (j - 1) // 2 + i - j, 1.0) for i, j in ends], "position long, value double")
+    made = P.unpack(vector, spark.range(n).selectExpr("id AS name", "id AS pos"))
+    assert sorted((r.x1, r.x2) for r in made.collect()) == sorted(ends)
+    assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
